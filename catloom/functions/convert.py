@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import col
+from .base import col, let
 
 _WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def json_list(value) -> Column:
     """Blank -> ``[]``; bad JSON -> the text itself; a JSON list -> strings; other JSON -> ``[]``."""
-    v = col(value)
-    parsed = F.try_parse_json(v)
+    return let(F.struct(col(value).alias("text"), F.try_parse_json(col(value)).alias("json")), _list_of)
+
+
+def _list_of(v: Column) -> Column:
     empty = F.array().cast("array<string>")
     items = F.transform(
-        parsed.try_cast("array<variant>"),
+        v["json"].try_cast("array<variant>"),
         lambda e: F.when(F.is_variant_null(e), "None")
         .when(F.schema_of_variant(e) == "BOOLEAN", F.initcap(e.try_cast("string")))
         .otherwise(e.try_cast("string")),
     )
     return (
-        F.when(F.coalesce(v, F.lit("")) == "", empty)
-        .when(parsed.isNull(), F.array(v))
-        .when(F.startswith(F.schema_of_variant(parsed), F.lit("ARRAY")), items)
+        F.when(F.coalesce(v["text"], F.lit("")) == "", empty)
+        .when(v["json"].isNull(), F.array(v["text"]))
+        .when(F.startswith(F.schema_of_variant(v["json"]), F.lit("ARRAY")), items)
         .otherwise(empty)
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import JavaPattern, col, cut_before, replace_all, trim_ws
+from .base import JavaPattern, col, cut_before, let, replace_all, trim_ws
 
 # Digits outside the decimal class (superscripts, circled digits, ...), as a regex class body.
 _OTHER_DIGITS = (
@@ -198,19 +198,18 @@ def zero_fill(value, length: int) -> Column:
 
 def title_words(c) -> Column:
     """Capital first letter for each a-z run; text with at most 3 such letters goes upper-case."""
-    s = trim_ws(F.lower(F.coalesce(col(c), F.lit(""))))
-    runs = F.regexp_extract_all(s, F.lit("[a-z]+|[^a-z]+"), F.lit(0))
-    cased = F.array_join(
-        F.transform(
-            runs,
-            lambda r: F.when(
-                r.rlike("^[a-z]"), F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))
-            ).otherwise(r),
-        ),
-        "",
+    return let(trim_ws(F.lower(F.coalesce(col(c), F.lit("")))), _title)
+
+
+def _title(s: Column) -> Column:
+    cased = F.transform(
+        F.regexp_extract_all(s, F.lit("[a-z]+|[^a-z]+"), F.lit(0)),
+        lambda r: F.when(
+            r.rlike("^[a-z]"), F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))
+        ).otherwise(r),
     )
     letters = F.length(F.regexp_replace(s, "[^a-z]+", ""))
-    return F.when(letters <= 3, F.upper(s)).otherwise(cased)
+    return F.when(letters <= 3, F.upper(s)).otherwise(F.array_join(cased, ""))
 
 
 def to_space_replace(c) -> Column:
@@ -253,7 +252,10 @@ def _decode_refs(c: Column, head: str) -> Column:
 
 def decode_numeric_refs(c) -> Column:
     """``&#NN;`` references to characters; the form without ``#`` only if no ``&#`` occurs."""
-    c = col(c)
+    return let(col(c), _decode_all_refs)
+
+
+def _decode_all_refs(c: Column) -> Column:
     return (
         F.when(F.coalesce(trim_ws(c), F.lit("")) == "", "")
         .when(~F.contains(c, F.lit(";")), c)
@@ -279,13 +281,15 @@ def clean_product_name(c) -> Column:
     s = replace_all(col(c), PRODUCT_REPLACEMENTS)
     s = F.regexp_replace(s, "(?i)&amp;", "&")
     s = trim_ws(F.regexp_replace(s, "(?i)&nbsp;", " "))
-    lead = F.left(s, F.lit(1)).isin(":", "：") & (F.length(s) > 1)
-    return F.when(lead, F.substr(s, F.lit(2))).otherwise(s)
+    return F.regexp_replace(s, r"\A[:：](?=(?s:.))", "")
 
 
 def split_name_type(c) -> Column:
     """``struct(name, type)``: brand in front, model behind."""
-    t = trim_ws(F.coalesce(col(c), F.lit("")))
+    return let(trim_ws(F.coalesce(col(c), F.lit(""))), _split_name_type)
+
+
+def _split_name_type(t: Column) -> Column:
     size, space = F.length(t), F.instr(t, " ")
     first_ascii = F.ascii(t) < 128
     wide = lambda at: F.ascii(F.substr(t, at, F.lit(1))) > 127
@@ -349,17 +353,27 @@ def is_more_caption(c) -> Column:
 
 def clean_caption(c, *, default: str = OTHER_CAPTION, prefix: str = "") -> Column:
     """Category caption, or NULL when the caption is navigation rather than a category."""
-    t = trim_ws(F.coalesce(col(c), F.lit("")))
-    coded = decode_codes(t)
-    marked = F.contains(coded, F.lit(BACK_MARK))
-    opened = F.replace(coded, F.lit(BACK_MARK), F.lit(" "))
-    named = clean_category(decode_numeric_refs(opened))
-    named = F.when(named == "", default).otherwise(named)
-    short = trim_ws(cut_before(cut_before(named, "（"), "("))
-    short = F.when(short == "", default).otherwise(short)
-    if prefix.strip():
-        short = F.concat(F.lit(prefix.strip() + "||"), short)
-    return F.when(~is_more_caption(t) & ~(marked & (trim_ws(opened) == "")), short)
+    def shorten(named: Column) -> Column:
+        return trim_ws(cut_before(cut_before(_or_else(named, default), "（"), "("))
+
+    def finish(short: Column) -> Column:
+        caption = _or_else(short, default)
+        return F.concat(F.lit(prefix.strip() + "||"), caption) if prefix.strip() else caption
+
+    def clean(coded: Column) -> Column:
+        opened = F.replace(coded, F.lit(BACK_MARK), F.lit(" "))
+        named = let(clean_category(decode_numeric_refs(opened)), shorten)
+        blanked = F.contains(coded, F.lit(BACK_MARK)) & (trim_ws(opened) == "")
+        return F.when(~blanked, let(named, finish))
+
+    return let(
+        trim_ws(F.coalesce(col(c), F.lit(""))),
+        lambda t: F.when(~is_more_caption(t), let(decode_codes(t), clean)),
+    )
+
+
+def _or_else(c: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
 def to_plain_chars(c) -> Column:

@@ -19,35 +19,36 @@ NON_PAGE_PREFIXES = ["#", "javascript:", "mailto:", "tel:", "data:"]
 
 def url_parts(url) -> Column:
     """``struct(scheme, host, path, params, query, fragment)``, all non-null strings."""
-    u = F.translate(col(url), _LINE_CHARS, "")
+    return let(F.translate(col(url), _LINE_CHARS, ""), _parts)
+
+
+def _parts(u: Column) -> Column:
     part = lambda g: F.regexp_extract(u, _PARTS, g)
     full = part(3)
-    # The parameters start at the first ';' of the last segment.
-    params = F.regexp_extract(full, r"(?s)(?:\A|/)[^/;]*;([^/]*)\z", 1)
-    has_params = full.rlike(r"(?s)(?:\A|/)[^/;]*;[^/]*\z")
+    # Parameters start at the first ';' of the last segment; most paths have none.
+    has_params = F.contains(u, F.lit(";")) & full.rlike(r"(?s)(?:\A|/)[^/;]*;[^/]*\z")
+    params = F.when(has_params, F.regexp_extract(full, r"(?s)(?:\A|/)[^/;]*;([^/]*)\z", 1)).otherwise("")
     path = F.when(has_params, F.regexp_extract(full, r"(?s)\A(.*?);[^/]*\z", 1)).otherwise(full)
     return F.struct(
         F.lower(part(1)).alias("scheme"),
         part(2).alias("host"),
         path.alias("path"),
         params.alias("params"),
-        part(4).alias("query"),
-        part(5).alias("fragment"),
+        F.when(F.contains(u, F.lit("?")), part(4)).otherwise("").alias("query"),
+        F.when(F.contains(u, F.lit("#")), part(5)).otherwise("").alias("fragment"),
     )
 
 
 def _assemble(scheme: Column, host: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
     some = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
-    full = F.concat(path, some(";", params))
-    rooted = F.when(
-        host != "",
-        F.concat(
-            F.lit("//"), host,
-            F.when((full != "") & ~F.startswith(full, F.lit("/")), F.concat(F.lit("/"), full)).otherwise(full),
-        ),
-    ).otherwise(full)
+
+    def rooted(full: Column) -> Column:
+        slash = F.when((full != "") & ~F.startswith(full, F.lit("/")), "/").otherwise("")
+        return F.when(host != "", F.concat(F.lit("//"), host, slash, full)).otherwise(full)
+
     head = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise("")
-    return F.concat(head, rooted, some("?", query), some("#", fragment))
+    full = let(F.concat(path, some(";", params)), rooted)
+    return F.concat(head, full, some("?", query), some("#", fragment))
 
 
 def _resolve(base_path: Column, path: Column) -> Column:
@@ -77,8 +78,8 @@ def _resolve(base_path: Column, path: Column) -> Column:
         )
 
     dotted = lambda s: F.exists(s, lambda x: x.isin(".", ".."))
-    result = let(segments, lambda s: F.when(dotted(s), walk(s)).otherwise(F.array_join(s, "/")))
-    return F.when(result == "", "/").otherwise(result)
+    plain = lambda s: F.when(dotted(s), walk(s)).otherwise(F.array_join(s, "/"))
+    return let(let(segments, plain), lambda r: F.when(r == "", "/").otherwise(r))
 
 
 def join_parts(base: Column, base_url: Column, href: Column) -> Column:
@@ -87,18 +88,17 @@ def join_parts(base: Column, base_url: Column, href: Column) -> Column:
     def link(p: Column) -> Column:
         scheme = F.when(p.scheme != "", p.scheme).otherwise(base.scheme)
         foreign = (scheme != base.scheme) | ~scheme.isin(*RELATIVE_SCHEMES)
-        here = (p.path == "") & (p.params == "")
-        same_page = _assemble(
-            scheme, base.host, base.path, base.params,
-            F.when(p.query != "", p.query).otherwise(base.query), p.fragment,
-        )
-        moved = _assemble(scheme, base.host, _resolve(base.path, p.path), p.params, p.query, p.fragment)
-        return (
-            F.when(foreign, href)
-            .when(p.host != "", _assemble(scheme, p.host, p.path, p.params, p.query, p.fragment))
-            .when(here, same_page)
-            .otherwise(moved)
+        own = p.host != ""
+        here = ~own & (p.path == "") & (p.params == "")
+        joined = _assemble(
+            scheme,
+            F.when(own, p.host).otherwise(base.host),
+            F.when(own, p.path).when(here, base.path).otherwise(_resolve(base.path, p.path)),
+            F.when(here, base.params).otherwise(p.params),
+            F.when(here & (p.query == ""), base.query).otherwise(p.query),
+            p.fragment,
         )
+        return F.when(foreign, href).otherwise(joined)
 
     return F.when(base_url == "", href).when(href == "", base_url).otherwise(let(url_parts(href), link))
 
@@ -117,8 +117,6 @@ def _quote_path(path: Column) -> Column:
 
 def normalize_url(url, *, encode_path: bool = True) -> Column:
     """Absolute http(s) URL without fragment, path percent-encoded; anything else -> ``''``."""
-    u = trim_ws(F.coalesce(col(url), F.lit("")))
-
     def build(p: Column) -> Column:
         path = _quote_path(p.path) if encode_path else p.path
         return F.when(
@@ -126,12 +124,15 @@ def normalize_url(url, *, encode_path: bool = True) -> Column:
             _assemble(p.scheme, p.host, path, p.params, p.query, F.lit("")),
         ).otherwise("")
 
-    return let(url_parts(u), build)
+    return let(url_parts(trim_ws(F.coalesce(col(url), F.lit("")))), build)
 
 
 def is_page_href(href) -> Column:
     """FLT-12: false for empty links and links that do not lead to a page."""
-    h = F.lower(trim_ws(F.coalesce(col(href), F.lit(""))))
+    return let(F.lower(trim_ws(F.coalesce(col(href), F.lit("")))), _leads_somewhere)
+
+
+def _leads_somewhere(h: Column) -> Column:
     bad = h == ""
     for prefix in NON_PAGE_PREFIXES:
         bad = bad | F.startswith(h, F.lit(prefix))
@@ -140,8 +141,12 @@ def is_page_href(href) -> Column:
 
 def normalize_link(href, base) -> Column:
     """PRJ-17: link of a page as a normalised URL, NULL when it leads nowhere."""
-    h = trim_ws(F.coalesce(col(href), F.lit("")))
-    return F.when(is_page_href(h), F.nullif(normalize_url(url_join(base, h)), F.lit("")))
+
+    def link(h: Column) -> Column:
+        found = let(normalize_url(url_join(base, h)), lambda u: F.when(u != "", u))
+        return F.when(is_page_href(h), found)
+
+    return let(trim_ws(F.coalesce(col(href), F.lit(""))), link)
 
 
 def clean_url(url) -> Column:

@@ -41,9 +41,8 @@ def stop_pages(pages: DataFrame, *, link: str, page_no: str, fresh: str, streak:
     the whole history of a link.
     """
     per_page = pages.groupBy(link, page_no).agg(F.sum(F.col(fresh).cast("int")).alias("_new"))
-    spans = per_page.select(
-        link, "_new", (F.col(page_no) + F.explode(F.sequence(F.lit(0), F.lit(streak - 1)))).alias("_end")
-    )
+    ends = F.transform(F.sequence(F.lit(0), F.lit(streak - 1)), lambda j: F.col(page_no) + j)
+    spans = per_page.select(link, "_new", F.explode(ends).alias("_end"))
     full = spans.groupBy(link, "_end").agg(F.sum("_new").alias("_new"), F.count("*").alias("_pages"))
     return (
         full.filter((F.col("_pages") == streak) & (F.col("_new") == 0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import col, trim_ws
 from ..functions.text import OTHER_CAPTION, clean_caption, extract_regex_key, path_keys
+from ..session import written
 from .filters import full_match, start_id_gate
 from .sequence import dense_position
 from .skew import lookup_join, top_n_per_group
@@ -226,7 +227,8 @@ def build_links(
         caption = clean_caption(
             F.coalesce(F.col("name"), F.lit("")), default=rules.default_caption, prefix=rules.inter
         )
-        rows = rows.withColumn("cate_name", caption).filter(F.col("cate_name").isNotNull())
+        # Exploding drops navigation captions and cleans each caption once.
+        rows = rows.select("*", F.explode(F.array_compact(F.array(caption))).alias("cate_name"))
     else:
         rows = rows.withColumn("cate_name", F.lit(""))
     path = names_path if names_path is not None else F.array().cast("array<string>")
@@ -283,24 +285,24 @@ def drop_shared_head(df: DataFrame, path: str) -> DataFrame:
 def walk_tree(links: DataFrame, *, key: str, parent: str, name: str, levels: int = LEVELS) -> DataFrame:
     """JN-11: level and name path of every row that hangs under a root (``parent`` NULL).
 
-    Each row climbs to its root, one lookup per level, so rows are read once and
-    nothing is collected per tree. Rows deeper than ``levels`` or in a cycle drop out.
+    Each row climbs to its root, one salted lookup per level, so rows are read once
+    and nothing is collected per tree. Every level is written to the shared folder,
+    so looking for hot parents never repeats the joins before it. Rows deeper than
+    ``levels`` or in a cycle drop out.
     """
     parents = links.select(
         F.col(key).alias("_up"), F.col(parent).alias("_next"), F.col(name).alias("_name")
     )
-    rows = links.withColumns({"_up": F.col(parent), "path": F.array(F.col(name))})
-    for _ in range(levels - 1):
-        rows = lookup_join(rows, parents, ["_up"], "left", spread=[key])
-        rows = rows.withColumns(
-            {
-                "path": F.when(F.col("_name").isNull(), F.col("path")).otherwise(
-                    F.array_prepend(F.col("path"), F.col("_name"))
-                ),
-                "_up": F.when(F.col("_name").isNull(), F.col("_up")).otherwise(F.col("_next")),
-            }
-        ).drop("_next", "_name")
-    return rows.filter(F.col("_up").isNull()).withColumn("level", F.size("path") - 1).drop("_up")
+    rows = links.select(key, F.col(parent).alias("_up"), F.array(F.col(name)).alias("path"))
+    for level in range(levels - 1):
+        rows = written(rows, f"walk-{level}")
+        found = F.col("_name").isNotNull()
+        rows = lookup_join(rows, parents, ["_up"], "left", spread=[key]).select(
+            key,
+            F.when(found, F.col("_next")).otherwise(F.col("_up")).alias("_up"),
+            F.when(found, F.array_prepend(F.col("path"), F.col("_name"))).otherwise(F.col("path")).alias("path"),
+        )
+    return rows.filter(F.col("_up").isNull()).select(key, "path", (F.size("path") - 1).alias("level"))
 
 
 def build_index(paths: DataFrame, names_path: str, *, max_ids: int = OTHER_ID - 1) -> DataFrame:

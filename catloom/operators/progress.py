@@ -20,15 +20,15 @@ def latest_state(events: DataFrame, *, now: Column | int, ttl_seconds: Column |
     """
     value = F.when(F.col("event") == "completed", COMPLETED).otherwise(F.col("page_url"))
     last = events.groupBy(key).agg(
-        F.max_by(F.struct(value.alias("state"), F.col("ts_sec").alias("at")), F.struct("ts_sec", "event_id")).alias("s")
+        F.max_by(F.struct(value.alias("state"), F.col("ts_sec").alias("seen_at")), F.struct("ts_sec", "event_id")).alias("s")
     )
-    out = last.select(key, "s.state", "s.at")
+    out = last.select(key, "s.state", "s.seen_at")
     if ttl_seconds is None:
         return out
     ttl = ttl_seconds if isinstance(ttl_seconds, Column) else F.lit(ttl_seconds)
     at_now = now if isinstance(now, Column) else F.lit(now)
     # A missing or zero TTL never expires.
-    return out.filter(ttl.isNull() | (ttl == 0) | (F.col("at") + ttl > at_now))
+    return out.filter(ttl.isNull() | (ttl == 0) | (F.col("seen_at") + ttl > at_now))
 
 
 def resume_links(links: DataFrame, state: DataFrame, *, key: str = "link_index", first_url: str = "url") -> DataFrame:

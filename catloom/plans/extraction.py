@@ -54,7 +54,9 @@ def _flagship(spark: SparkSession, sf: str) -> DataFrame:
     }
     parsed = extract.list_records(pages(spark, sf), rules)
     link = normalize_link(F.col("common.link"), F.col("url"))
-    linked = parsed.withColumn("id", link).filter(F.col("id").isNotNull())
+    # Exploding drops rows without a link and evaluates the link once, where a filter would repeat it.
+    kept = [c for c in parsed.columns if c != "id"]
+    linked = parsed.select(*kept, F.explode(F.array_compact(F.array(link))).alias("id"))
     first = keep_first(linked, ["id"], ["page_id", "record_seq"])
     records = extract.content_records(first, crawl_time=1_700_000_000)
     return records.groupBy(store_bucket("_id", "CONTENT").alias("bucket")).agg(
@@ -138,7 +140,7 @@ def _regex_step(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prj_06_block_regions",
     f"""with {ANCHOR_SQL} select page_id, cast(0 as bigint) as unit, pos as region_seq, cast(0 as bigint) as record_seq, {HOST_SQL} || href as link, name as main_title from anchors
-    union all select page_id, 1, 0, 0, '', regexp_extract(html, '<h1>([^<]*)</h1>', 1) from pages""",
+    union all select page_id, 1, 0, 0, '', trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) from pages""",
 )
 def _block_regions(spark: SparkSession, sf: str) -> DataFrame:
     rules = {"link": LINK, "main_title": FieldRule(css="a, h1")}
@@ -165,7 +167,7 @@ def _father_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prj_08_zip_columns",
-    f"""with {ANCHOR_SQL}, h as (select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title from pages)
+    f"""with {ANCHOR_SQL}, h as (select page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) as title from pages)
     select page_id, cast(pos as bigint) as pos, href, name, case when pos = 0 then title else '' end as title, case when pos < 4 then 'yes' else 'no' end as in_four
     from anchors join h using (page_id)""",
 )
@@ -503,4 +505,4 @@ def _options(spark: SparkSession, sf: str) -> DataFrame:
     return extract.option_rows(rows, {"name": "sku_color_names", "link": "sku_color_links"}, keep=("p_partkey",))
 
 
-__all__ = ["anchors", "level_frame", "parsed_parts", "is_trim_empty", "lit", "to_integer", "to_number"]
+
