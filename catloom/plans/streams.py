@@ -60,10 +60,8 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
     """The last state of every link, after its events came in several batches."""
     spark_events = link_events(spark, sf)
     out = _drain(state.link_progress(_as_stream(spark_events, "progress-in")), "progress")
-    # Each row leads from one state to the next; the one nothing leads on from is the last.
-    after = out.select("link_index", F.col("state_after").alias("state"))
-    before = out.select("link_index", F.col("state_before").alias("state"))
-    return after.join(before, ["link_index", "state"], "left_anti").distinct()
+    last = F.max_by("state_after", F.struct("ts_sec", "event_id"))
+    return out.groupBy("link_index").agg(last.alias("state"))
 
 
 _ORDER = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
@@ -93,7 +91,7 @@ _DOC = T.StructType([T.StructField("_id", T.StringType()), T.StructField("doc_id
 def _restart(spark: SparkSession, sf: str) -> DataFrame:
     """The same feed twice with fresh checkpoints, as after a lost one: nothing is stored twice."""
     docs = table(spark, sf, "documents").select(F.md5("text").alias("_id"), "doc_id")
-    store = new_store(spark, _DOC)
+    store = new_store(spark, _DOC, length=1)
     stream = _as_stream(docs, "docs-in", key="doc_id")
     for _ in range(2):
         batches.store_feed(stream, store, ["doc_id"], scratch(spark, "cp")).awaitTermination()

@@ -12,7 +12,6 @@ from ..operators.sequence import read_positions
 
 LINE = T.StructType([T.StructField("value", T.StringType())])
 
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when the path can be listed, on whatever file system it lives."""
     try:
@@ -22,32 +21,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _utf8(encoding: str) -> bool:
+def is_utf8(encoding: str) -> bool:
     return encoding.lower().replace("-", "").replace("_", "") in ("utf8", "utf8sig")
 
 
+def allow_charset(spark: SparkSession) -> None:
+    """Spark decodes charsets beyond its short list only behind this setting."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", True)
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "GBK") -> DataFrame:
-    """SRC-01: lines with CR and LF stripped; other charsets go through the CSV reader.
+    """SRC-01: lines with CR and LF stripped, in any charset that keeps the ASCII line end.
 
-    ``spark.read.text`` only decodes UTF-8. The CSV reader is told a separator and
-    quote that cannot occur, so a line stays one value.
+    ``spark.read.text`` ignores its encoding but hands the bytes of a line on as they
+    are, so the line is decoded from them.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], LINE)
-    if _utf8(encoding):
-        lines = spark.read.text(path)
-    else:
-        lines = (
-            spark.read.schema(LINE)
-            .option("encoding", encoding)
-            .option("sep", "\u0001")
-            .option("quote", "\u0000")
-            .option("escape", "\u0000")
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .option("maxCharsPerColumn", -1)
-            .csv(path)
-        )
+    lines = spark.read.text(path)
+    if not is_utf8(encoding):
+        allow_charset(spark)
+        lines = lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
     cleaned = F.rtrim(F.col("value"), F.lit("\r\n"))
     return lines.select(cleaned.alias("value"))
 
@@ -56,8 +50,9 @@ def read_string(spark: SparkSession, path: str, encoding: str = "GBK") -> DataFr
     """SRC-02: one row per file with its whole text."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], LINE)
-    if _utf8(encoding):
+    if is_utf8(encoding):
         return spark.read.text(path, wholetext=True)
+    allow_charset(spark)
     raw = spark.read.format("binaryFile").load(path)
     return raw.select(F.decode("content", encoding).alias("value"))
 
@@ -111,9 +106,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
         return spark.createDataFrame([], schema)
     try:
         frame = spark.read.schema(schema).format(fmt).load(path)
-        frame.limit(1).count()
+        frame.limit(1).collect()
         return frame
-    except PySparkException:
+    except Exception:  # noqa: BLE001  (any failure means that there is no history)
         return spark.createDataFrame([], schema)
 
 

@@ -19,15 +19,24 @@ DEFAULT_NAMES = {"csv": "data.csv", "json": "data.json", "jsonl": "data.jsonl",
 CUSTOMERS = 5
 
 
-def write_lines(lines: DataFrame, path: str, *, append: bool = False) -> None:
-    """SNK-01 / SNK-02: one text column as lines. Appending adds files, so no line is ever glued."""
+def write_lines(lines: DataFrame, path: str, *, append: bool = False, encoding: str = "utf-8") -> None:
+    """SNK-01 / SNK-02: one text column as lines. Appending adds files, so no line is ever glued.
+
+    The text writer puts out a value's bytes as they are, so other charsets are
+    encoded first.
+    """
+    if not readers.is_utf8(encoding):
+        readers.allow_charset(lines.sparkSession)
+        column = lines.columns[0]
+        lines = lines.select(F.encode(column, encoding).cast("string").alias(column))
     lines.write.mode("append" if append else "overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, *, append: bool = True) -> None:
     """SNK-03: listed columns with a header in every part file."""
     chosen = df.select(*(fields or DEFAULT_FIELDS))
-    chosen.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    chosen.write.mode("append" if append else "overwrite").options(**exact).csv(path)
 
 
 def write_json(df: DataFrame, path: str, *, append: bool = True) -> None:

@@ -29,7 +29,12 @@ def file_stream(spark, path: str, schema, *, fmt: str = "parquet", files_per_bat
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Work through all available input in micro-batches; a failed batch is retried from the checkpoint."""
+    """Work through all available input in micro-batches; a failed batch is retried from the checkpoint.
+
+    Batches without data are switched off: state with a TTL would ask for one after
+    another, and the run would never end.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -55,7 +55,7 @@ class LinkProgress(StatefulProcessor):
 
     The state follows the event with the highest ``(ts_sec, event_id)``, so the order
     in which a batch delivers a link's events does not matter. One row per link
-    and batch comes out: the state before and after.
+    and batch comes out: the state before and after, and the stamp of the latter.
     """
 
     def __init__(self, ttl_ms: int | None, key: str):
@@ -78,9 +78,9 @@ class LinkProgress(StatefulProcessor):
                 best = seen
         if best is not None:
             self.state.update(tuple(best))
-            yield pd.DataFrame(
-                {self.key: [key[0]], "state_before": [saved[0] if saved is not None else None], "state_after": [best[0]]}
-            )
+            before = saved[0] if saved is not None else None
+            names = [self.key, "state_before", "state_after", "ts_sec", "event_id"]
+            yield pd.DataFrame([[key[0], before, *best]], columns=names)
 
     def close(self) -> None:
         pass
@@ -108,9 +108,9 @@ def first_seen(events: DataFrame, keys: list[str], *, ttl_seconds: int | None =
 def link_progress(events: DataFrame, *, key: str = "link_index", ttl_seconds: int | None = 864_000) -> DataFrame:
     """STR-04: the progress state machine over a stream of page events."""
     ttl = ttl_seconds * 1000 if ttl_seconds else None
-    schema = T.StructType(
-        [events.schema[key], T.StructField("state_before", T.StringType()), T.StructField("state_after", T.StringType())]
-    )
+    states = [T.StructField(n, T.StringType()) for n in ("state_before", "state_after")]
+    stamp = [T.StructField(n, T.LongType()) for n in ("ts_sec", "event_id")]
+    schema = T.StructType([events.schema[key], *states, *stamp])
     return _with_state(events, [key], LinkProgress(ttl, key), schema)
 
 
