@@ -31,8 +31,9 @@ _PROGRESS = T.StructType(
 class SeenSet(StatefulProcessor):
     """First sight of a key; every sight restarts the key's clock."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None, columns: list[str]):
+        # Names are set again on every chunk: Spark loses those with a leading underscore.
+        self.ttl_ms, self.columns = ttl_ms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", _MARK, self.ttl_ms)
@@ -44,7 +45,7 @@ class SeenSet(StatefulProcessor):
             if fresh and flags:
                 flags[0], fresh = True, False
             self.seen.update(("1",))
-            yield chunk.assign(is_new=flags)
+            yield chunk.set_axis(self.columns, axis=1).assign(is_new=flags)
 
     def close(self) -> None:
         pass
@@ -102,7 +103,7 @@ def first_seen(events: DataFrame, keys: list[str], *, ttl_seconds: int | None =
     """
     ttl = ttl_seconds * 1000 if ttl_seconds else None
     schema = T.StructType([*events.schema.fields, T.StructField("is_new", T.BooleanType())])
-    return _with_state(events, keys, SeenSet(ttl), schema)
+    return _with_state(events, keys, SeenSet(ttl, events.columns), schema)
 
 
 def link_progress(events: DataFrame, *, key: str = "link_index", ttl_seconds: int | None = 864_000) -> DataFrame:
