@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterable
 
@@ -35,12 +36,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def replace_all(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Ordered literal replacements, each seeing the result of the one before."""
-    for old, new in pairs:
+    """Ordered literal replacements, each seeing the result of the one before.
+
+    A long run of replacements of non-ASCII text is skipped in one look when the
+    value holds none of its characters.
+    """
+    for wide, run in itertools.groupby(pairs, key=lambda p: not p[0].isascii()):
+        chain = list(run)
+        if wide and len(chain) > 3:
+            marks = {next(ch for ch in old if not ch.isascii()) for old, _ in chain}
+            some = "[" + "".join(sorted(marks)) + "]"
+            c = let(c, _guarded(some, chain))
+        else:
+            c = _replace(c, chain)
+    return c
+
+
+def _replace(c: Column, chain: list[tuple[str, str]]) -> Column:
+    for old, new in chain:
         c = F.replace(c, F.lit(old), F.lit(new))
     return c
 
 
+def _guarded(some: str, chain: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    return lambda v: F.when(v.rlike(some), _replace(v, chain)).otherwise(v)
+
+
 def cut_before(c: Column, mark: str) -> Column:
     """Everything in front of the first ``mark`` (all of it when there is none)."""
     return F.substring_index(c, mark, 1)

@@ -205,11 +205,11 @@ def _title(s: Column) -> Column:
     cased = F.transform(
         F.regexp_extract_all(s, F.lit("[a-z]+|[^a-z]+"), F.lit(0)),
         lambda r: F.when(
-            r.rlike("^[a-z]"), F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))
+            F.ascii(r).between(97, 122), F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))
         ).otherwise(r),
     )
-    letters = F.length(F.regexp_replace(s, "[^a-z]+", ""))
-    return F.when(letters <= 3, F.upper(s)).otherwise(F.array_join(cased, ""))
+    four_letters = s.rlike(r"\A(?:[^a-z]*[a-z]){4}")
+    return F.when(four_letters, F.array_join(cased, "")).otherwise(F.upper(s))
 
 
 def to_space_replace(c) -> Column:

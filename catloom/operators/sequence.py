@@ -2,69 +2,55 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_BUCKETS = 2048
-_SAMPLE_PER_BUCKET = 20
+from ..session import written
 
+_LOCAL = (1 << 33) - 1  # the bits of a monotonically increasing id that count inside a partition
 
-def _bounds(df: DataFrame, order: Sequence[str], buckets: int, rows: int) -> list:
-    """Bucket borders from a sample of at most about ``20 * buckets`` order keys."""
-    share = min(1.0, _SAMPLE_PER_BUCKET * buckets / rows)
-    keys = sorted(tuple(r) for r in df.select(*order).sample(share, seed=11).distinct().collect())
-    if len(keys) < buckets:
-        return keys
-    return [keys[len(keys) * i // buckets] for i in range(1, buckets)]
 
+def _ranged(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFrame:
+    """Rows in ordered ranges, each with its range and its place there, in the shared folder.
+
+    Borders come from a sample and would differ in a second run, so the ranges are
+    written down before anything is derived from them.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))
+    return written(ranged.withColumns({"_range": F.spark_partition_id(), "_local": local}), "ranges")
 
-def _bucket(order: Sequence[str], bounds: list, schema) -> Column:
-    """Number of borders at or below the row's key, looked up in two steps."""
-    if not bounds:
-        return F.lit(0)
-    types = [schema[c].dataType for c in order]
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    lit = lambda b: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))])
-    width = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    below = lambda a: F.size(F.filter(a, lambda b: b <= key))
-    coarse = below(F.array(*[lit(g[0]) for g in groups]))
-    fine = F.array(*[F.array(*[lit(b) for b in g]) for g in groups])
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(F.get(fine, coarse - 1)))
+
+def _numbered(ranged: DataFrame, name: str, start: int) -> DataFrame:
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One small row per range: as many as there are shuffle partitions.
+    return (
+        ranged.join(F.broadcast(offsets), "_range")
+        .withColumn(name, (F.col("_before") + F.col("_local") + start).cast("bigint"))
+        .drop("_range", "_local", "_before")
+    )
 
 
 def dense_position(
-    df: DataFrame, order: Sequence[str], name: str = "pos", *, start: int = 1, rows_per_bucket: int = 500_000
+    df: DataFrame, order: Sequence[str], name: str = "pos", *, start: int = 1, parts: int | None = None
 ) -> DataFrame:
-    """Consecutive numbers from ``start`` in a total order (``order`` must be unique and not NULL).
+    """Consecutive numbers from ``start`` in a total order (``order`` must be unique).
 
-    Rows are cut into ordered buckets at sampled borders. The bucket sizes, at
-    most 2,048 numbers, give each bucket its offset; inside a bucket an ordinary
-    window counts on. The result does not depend on where the borders fall.
+    One range shuffle sorts the rows; the sizes of the ranges give each its offset,
+    and the place inside a range is known from the sort. There is no global window,
+    and the numbers do not depend on where the borders fall.
     """
-    order = list(order)
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
-    bounds = _bounds(df, order, buckets, rows) if buckets > 1 else []
-    marked = df.withColumn("_bucket", _bucket(order, bounds, df.schema))
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    # At most MAX_BUCKETS rows are broadcast.
-    return (
-        marked.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, (F.col("_before") + local + (start - 1)).cast("bigint"))
-        .drop("_bucket", "_before")
-    )
+    return _numbered(_ranged(df, list(order), parts), name, start)
 
 
 def allocate_ids(
-    rows: DataFrame, store: DataFrame, order: Sequence[str], name: str = "iid", **options
+    rows: DataFrame, store: DataFrame, order: Sequence[str], name: str = "iid", *, parts: int | None = None
 ) -> tuple[DataFrame, int, int]:
     """WIN-02: number new rows after the store's highest id.
 
@@ -72,8 +58,8 @@ def allocate_ids(
     empty batch gives ``last == first - 1``.
     """
     top = store.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint").alias("top")).first()["top"]
-    count = rows.count()
-    return dense_position(rows, order, name, start=top + 1, **options), top + 1, top + count
+    ranged = _ranged(rows, list(order), parts)
+    return _numbered(ranged, name, top + 1), top + 1, top + ranged.count()
 
 
 def read_positions(lines: DataFrame, name: str = "pos", *, start: int = 0) -> DataFrame:

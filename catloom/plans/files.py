@@ -370,4 +370,4 @@ def _file_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("win_02_positions_any_buckets", "select l_orderkey, l_partkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as pos from lineitem")
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-    return sequence.dense_position(table(spark, sf, "lineitem").select(*keys), keys, rows_per_bucket=5_000).select("l_orderkey", "l_partkey", "pos")
+    return sequence.dense_position(table(spark, sf, "lineitem").select(*keys), keys).select("l_orderkey", "l_partkey", "pos")

@@ -211,7 +211,7 @@ def _link_lines(spark: SparkSession, sf: str) -> DataFrame:
 def _pick(spark: SparkSession, sf: str) -> DataFrame:
     """Indexes past the end stay in the frame with a NULL url: the report of skipped ones."""
     pages = table(spark, sf, "pages")
-    numbered = dense_position(pages.select("page_id", "url"), ["page_id"], "index", start=0, rows_per_bucket=50_000)
+    numbered = dense_position(pages.select("page_id", "url"), ["page_id"], "index", start=0)
     spec = parse_item_indexes(f"3-{pages.count() + 5}")
     return spec.frame(spark).join(numbered.select("index", "url"), "index", "left")
 
@@ -244,7 +244,7 @@ def _sorted(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").withColumn("_neg", -F.col(spec.field) if spec.order == "desc" else F.col(spec.field))
     keys = ["_neg", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity"]
     # The global order as a number, so that it can be compared; buckets keep it parallel.
-    return dense_position(rows, keys, "rn", rows_per_bucket=100_000).select(
+    return dense_position(rows, keys, "rn").select(
         "rn", "l_orderkey", "l_partkey", F.col("l_linenumber").cast("bigint").alias("line"), "l_extendedprice"
     )
 
@@ -258,7 +258,7 @@ def _order_by(spark: SparkSession, sf: str) -> DataFrame:
 @query("srt_02_last_first", "select row_number() over (order by page_id desc) as step, page_id, url from pages")
 def _last_first(spark: SparkSession, sf: str) -> DataFrame:
     ordered = table(spark, sf, "pages").withColumn("_neg", -F.col("page_id"))
-    return dense_position(ordered, ["_neg"], "step", rows_per_bucket=50_000).select("step", "page_id", "url")
+    return dense_position(ordered, ["_neg"], "step").select("step", "page_id", "url")
 
 
 @query(

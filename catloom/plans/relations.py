@@ -487,7 +487,7 @@ def _id_block(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     store = o.filter("o_orderkey % 4 = 0").withColumn("iid", F.col("o_orderkey"))
     rows, first, last = sequence.allocate_ids(
-        o.filter("o_orderkey % 4 <> 0"), store, ["o_orderdate", "o_orderkey"], rows_per_bucket=50_000
+        o.filter("o_orderkey % 4 <> 0"), store, ["o_orderdate", "o_orderkey"]
     )
     return rows.select("o_orderkey", "iid")
 

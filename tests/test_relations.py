@@ -66,14 +66,14 @@ def test_top_n(skewed, frame):
 def test_dense_position(skewed, frame):
     order = sorted((k, v, i) for i, k, v in skewed)
     want = {i: n for n, (_, _, i) in enumerate(order, 10)}
-    for rows in (10_000, 100):
-        out = sequence.dense_position(frame, ["k", "v", "i"], start=10, rows_per_bucket=rows)
+    for parts in (None, 1, 30):
+        out = sequence.dense_position(frame, ["k", "v", "i"], start=10, parts=parts)
         assert {r.i: r.pos for r in out.collect()} == want
 
 
 def test_id_block(spark, frame):
     store = spark.createDataFrame([(7,), (41,)], "iid bigint")
-    rows, first, last = sequence.allocate_ids(frame, store, ["i"], rows_per_bucket=500)
+    rows, first, last = sequence.allocate_ids(frame, store, ["i"])
     assert (first, last) == (42, 3041) and sorted(r.iid for r in rows.collect()) == list(range(42, 3042))
     empty = spark.createDataFrame([], "iid bigint")
     assert sequence.allocate_ids(frame.limit(0), empty, ["i"])[1:] == (1, 0)
