@@ -203,7 +203,7 @@ def title_words(c) -> Column:
 
 def _title(s: Column) -> Column:
     cased = F.transform(
-        F.regexp_extract_all(s, F.lit("[a-z]+|[^a-z]+"), F.lit(0)),
+        F.regexp_extract_all(s, F.lit("[a-z]+[^a-z]*|[^a-z]+"), F.lit(0)),
         lambda r: F.when(
             F.ascii(r).between(97, 122), F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))
         ).otherwise(r),
@@ -279,9 +279,14 @@ def compare_form(c) -> Column:
 
 def clean_product_name(c) -> Column:
     s = replace_all(col(c), PRODUCT_REPLACEMENTS)
-    s = F.regexp_replace(s, "(?i)&amp;", "&")
-    s = trim_ws(F.regexp_replace(s, "(?i)&nbsp;", " "))
-    return F.regexp_replace(s, r"\A[:：](?=(?s:.))", "")
+    # Most names hold no '&', which is far cheaper to see than the patterns are to run.
+    plain = F.regexp_replace(F.regexp_replace(s, "(?i)&amp;", "&"), "(?i)&nbsp;", " ")
+    return let(trim_ws(F.when(F.contains(s, F.lit("&")), plain).otherwise(s)), _drop_lead_colon)
+
+
+def _drop_lead_colon(s: Column) -> Column:
+    lead = F.left(s, F.lit(1)).isin(":", "：") & (F.length(s) > 1)
+    return F.when(lead, F.substr(s, F.lit(2))).otherwise(s)
 
 
 def split_name_type(c) -> Column:

@@ -103,7 +103,7 @@ def test_examples(spark):
     assert run(spark, ["&#27431;&#33298;", "&27431;&33298;", "&#99999999;", "&#55296;", "a&#38;#39;"], text.decode_numeric_refs) == [
         "欧舒", "欧舒", "&#99999999;", "&#55296;", "a&#39;",
     ]
-    assert run(spark, ["%3Ax//y%20", "a&amp;b;", "&raquo;"], text.decode_codes) == ["://x/y ", "a&b;", "?"]
+    assert run(spark, ["http%3A//x%20", "a&amp;b;", "&raquo;"], text.decode_codes) == ["http://x ", "a&b;", "?"]
     assert run(spark, ["更多", "Read MORE", "小说（a）", "(x)", "★", "&#8249;"], text.clean_caption) == [None, None, "小说", "其他", "其他", None]
     assert run(spark, ["作者 张三 编著 中国 张三 a"], text.drop_role_words) == ["张三"]
     frame = spark.createDataFrame([(42, 5), (123, 3), (999999, 10), (-7, 4), (12345, 3)], "v int, n int")
