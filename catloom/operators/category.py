@@ -117,7 +117,7 @@ def backfill_ids(links: DataFrame, index: DataFrame, *, strict: bool = True) ->
     lookup = index.groupBy(path_keys("cate_names_path").alias("_key")).agg(
         F.min("cate_ids_path").alias("cate_ids_path"), F.count("*").alias("_n")
     )
-    out = keyed.drop("cate_ids_path").join(lookup, "_key", "left")
+    out = lookup_join(keyed.drop("cate_ids_path"), lookup, ["_key"], "left", spread=["url"])
     problem = (
         F.when(F.col("_n") > 1, "category path is not unique: ")
         .when(F.col("_n").isNull(), "category path has no index row: ")

@@ -47,6 +47,17 @@ def unseen(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def unseen_in_history(df: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """SET-03 for a batch (already written down) against a much larger history.
+
+    The history is first cut to the batch's keys. A batch small enough is broadcast
+    by its known file size, and then the history is scanned but never shuffled.
+    """
+    keys = list(keys)
+    known = history.select(*keys).join(df.select(*keys), keys, "left_semi").distinct()
+    return df.join(known, keys, "left_anti")
+
+
 def seen_keys(history: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """SET-02: all keys known after the fresh ones were added, blanks left out."""
     some = F.coalesce(F.col(key), F.lit("")) != ""

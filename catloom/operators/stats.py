@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.text import text_class
 from ..functions.urls import store_bucket
 from .category import EMPTY_LEVEL, LEVEL_FIELDS
-from .skew import lookup_join
 
 
 def _filled(c: str) -> Column:
@@ -76,5 +75,6 @@ def export_counters(records: DataFrame, log: DataFrame, *, customers: int = 5) -
     counts = log.groupBy("_id").agg(
         *[F.count_if(F.col("customer") == i).alias(f"ects_{i}") for i in range(customers)]
     )
-    joined = lookup_join(records, counts, ["_id"], "left")
+    # Both sides have one row per _id.
+    joined = records.join(counts, "_id", "left")
     return joined.fillna(0, [f"ects_{i}" for i in range(customers)])

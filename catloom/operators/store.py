@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, written
 from ..sources.readers import path_exists
-from .dedup import keep_first, with_bucket
+from .dedup import keep_first, unseen_in_history, with_bucket
 
 
 class ContentStore:
@@ -50,12 +50,13 @@ class ContentStore:
         """SNK-07: insert documents whose ``_id`` the store lacks; returns exactly those.
 
         Rows without ``_id`` are skipped and the first of several equal ids counts.
-        The new rows are written to the shared folder first, so that the rows
-        returned and the rows stored are the same even if tasks are retried.
+        The batch and the new rows are written to the shared folder first: the batch
+        so that the store is only scanned for its ids, the new rows so that those
+        returned and those stored are the same even if tasks are retried.
         """
         first = with_bucket(keep_first(docs, ["_id"], order), prefix=self.prefix, length=self.length)
-        known = self.read().select("bucket", "_id")
-        fresh = written(first.join(known, ["bucket", "_id"], "left_anti"), "insert")
+        fresh = unseen_in_history(written(first, "batch"), self.read(), ["bucket", "_id"])
+        fresh = written(fresh.select(*first.columns), "insert")
         self._append(fresh.select(*[f.name for f in self._full_schema()]))
         return fresh
 

@@ -52,6 +52,18 @@ def _gate(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(gated, "gate").groupBy("sort_field", "page").agg(F.count("*").alias("rows"), F.count_if("is_new").alias("passed"))
 
 
+@query("str_03_page_gate_batches", "select event_type as sort_field, user_id as page, 1::bigint as passed from events group by all")
+def _gate_batches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _events(spark, sf).select("event_id", F.col("event_type").alias("sort_field"), F.col("user_id").alias("page"))
+    target, log = scratch(spark, "passed"), scratch(spark, "sightings")
+    # One second per batch: nothing expires between the batches of this run.
+    batches.gate_feed(
+        _as_stream(rows, "gate-in"), target, log, ["sort_field", "page"], ["event_id"], scratch(spark, "cp"),
+        clock=lambda batch_id: batch_id, ttl_seconds=172_800,
+    ).awaitTermination()
+    return spark.read.parquet(target).groupBy("sort_field", "page").agg(F.count("*").alias("passed"))
+
+
 @query(
     "str_04_progress_states",
     """select user_id as link_index, arg_max(case when event_type = 'purchase' then 'COMPLETED_END' else 'https://x.example.com/' || event_type || '/' || event_id end, struct_pack(t := floor(epoch(ts)), e := event_id)) as state from events group by 1""",

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import keep_first, unseen
+from ..operators.dedup import keep_first, unseen_in_history
 from ..operators.store import ContentStore
+from ..session import written
 from ..sources.readers import read_or_empty
 from ..sources.writers import write_all
 
@@ -43,8 +46,36 @@ def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str]
     schema = stream.schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        history = read_or_empty(batch.sparkSession, target, schema).select(*keys)
-        unseen(keep_first(batch, keys, order), history, keys).write.mode("append").parquet(target)
+        first = written(keep_first(batch, keys, order), "feed")
+        history = read_or_empty(batch.sparkSession, target, schema)
+        unseen_in_history(first, history, keys).select(*batch.columns).write.mode("append").parquet(target)
+
+    return run(stream, each, checkpoint)
+
+
+def gate_feed(
+    stream: DataFrame, target: str, log: str, keys: list[str], order: list[str], checkpoint: str,
+    *, clock: Callable[[int], int], ttl_seconds: int,
+) -> StreamingQuery:
+    """STR-02 / STR-03 without per-key state in one task: rows whose key was not seen within the TTL.
+
+    A batch collapses to one row per key before it is shuffled, so a key with a
+    third of the feed costs one row per task. Sightings go to an append-only log;
+    every sighting restarts the key's clock. Both outputs are kept per batch, so a
+    batch that runs again replaces what it wrote. ``clock`` gives the seconds at
+    which a batch counts.
+    """
+    schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField("expires_at", T.LongType()), T.StructField("batch", T.LongType())])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = clock(batch_id)
+        first = written(keep_first(batch, keys, order), "gate")
+        seen = read_or_empty(batch.sparkSession, log, schema)
+        live = seen.filter((F.col("expires_at") > now) & (F.col("batch") != batch_id))
+        passed = unseen_in_history(first, live, keys).select(*batch.columns)
+        passed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        sightings = first.select(*keys, F.lit(now + ttl_seconds).cast("bigint").alias("expires_at"))
+        sightings.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     return run(stream, each, checkpoint)
 

@@ -106,3 +106,14 @@ def test_store_feed_twice(spark):
     for _ in range(2):
         batches.store_feed(batches.file_stream(spark, folder, DOC), store, ["v"], scratch(spark, "cp")).awaitTermination(120)
     assert content(store) == {"a": 1, "b": 2}
+
+
+def test_gate_forgets_and_repeats(spark):
+    folder, target, log = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "log")
+    checkpoint = scratch(spark, "cp")
+    for rows in ([("a", 1), ("a", 2), ("b", 3)], [("a", 4)], [("a", 5), ("b", 6)]):
+        docs(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = batches.file_stream(spark, folder, DOC)
+        # Batch n counts at second 10 n; "a" is seen every time, "b" expires before it comes again.
+        batches.gate_feed(stream, target, log, ["_id"], ["v"], checkpoint, clock=lambda n: 10 * n, ttl_seconds=15).awaitTermination(120)
+    assert sorted((r["_id"], r.v, r.batch) for r in spark.read.parquet(target).collect()) == [("a", 1, 0), ("b", 3, 0), ("b", 6, 2)]
