@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+SMALL_N = 50
+
 
 def hot_keys(df: DataFrame, keys: Sequence[str], *, share: float = 0.02) -> list[int]:
     """Hashes of the keys that hold at least ``share`` of the rows (at most ``1 / share`` of them).
@@ -65,18 +67,23 @@ def top_n_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group in a total order.
 
-    Every group is first cut to ``n`` rows in each of ``salts`` parts, so the final
-    window sees at most ``salts * n`` rows of a group however large it is.
+    For small ``n`` Spark itself cuts each task's share of a group to ``n`` rows before
+    the shuffle. For larger ``n`` every group is first cut to ``n`` rows in each of
+    ``salts`` parts, so the final window sees at most ``salts * n`` rows of a group
+    however large it is and however many tasks read it.
     """
-    part = F.pmod(F.xxhash64(*spread), F.lit(salts))
-    inner = W.partitionBy(*keys, "_part").orderBy(*order)
-    outer = W.partitionBy(*keys).orderBy(*order)
-    cut = (
-        df.withColumn("_part", part)
-        .withColumn("_rn", F.row_number().over(inner))
-        .filter(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(outer))
-        .filter(F.col("_rn") <= n)
-        .drop("_part")
-    )
+    ranked = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    if n <= SMALL_N:
+        cut = df.withColumn("_rn", ranked).filter(F.col("_rn") <= n)
+    else:
+        part = F.pmod(F.xxhash64(*spread), F.lit(salts))
+        in_part = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+        cut = (
+            df.withColumn("_part", part)
+            .withColumn("_rn", in_part)
+            .filter(F.col("_rn") <= n)
+            .withColumn("_rn", ranked)
+            .filter(F.col("_rn") <= n)
+            .drop("_part")
+        )
     return cut.withColumnRenamed("_rn", rank) if rank else cut.drop("_rn")

@@ -10,15 +10,19 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is one made, and set.
+    Only where the session names none (local tests) is one made, once per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="catloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _local_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="catloom-")
+        _local_folders[app] = folder
     return folder.rstrip("/")
 
 

@@ -58,9 +58,10 @@ def test_top_n(skewed, frame):
     groups = defaultdict(list)
     for i, k, v in skewed:
         groups[k].append((-v, i))
-    want = {i: n for rows in groups.values() for n, (_, i) in enumerate(sorted(rows)[:5], 1)}
-    got = top_n_per_group(frame, ["k"], [F.col("v").desc(), F.col("i")], 5, spread=["i"], salts=4, rank="n").collect()
-    assert {r.i: r.n for r in got} == want
+    for count in (5, 200):
+        want = {i: n for rows in groups.values() for n, (_, i) in enumerate(sorted(rows)[:count], 1)}
+        got = top_n_per_group(frame, ["k"], [F.col("v").desc(), F.col("i")], count, spread=["i"], salts=4, rank="n").collect()
+        assert {r.i: r.n for r in got} == want
 
 
 def test_dense_position(skewed, frame):
