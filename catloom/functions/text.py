@@ -278,10 +278,12 @@ def compare_form(c) -> Column:
 
 
 def clean_product_name(c) -> Column:
-    s = replace_all(col(c), PRODUCT_REPLACEMENTS)
-    # Most names hold no '&', which is far cheaper to see than the patterns are to run.
-    plain = F.regexp_replace(F.regexp_replace(s, "(?i)&amp;", "&"), "(?i)&nbsp;", " ")
-    return let(trim_ws(F.when(F.contains(s, F.lit("&")), plain).otherwise(s)), _drop_lead_colon)
+    def finish(s: Column) -> Column:
+        # Most names hold no '&', which is far cheaper to see than the patterns are to run.
+        plain = F.regexp_replace(F.regexp_replace(s, "(?i)&amp;", "&"), "(?i)&nbsp;", " ")
+        return let(trim_ws(F.when(F.contains(s, F.lit("&")), plain).otherwise(s)), _drop_lead_colon)
+
+    return let(replace_all(col(c), PRODUCT_REPLACEMENTS), finish)
 
 
 def _drop_lead_colon(s: Column) -> Column:

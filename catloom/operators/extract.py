@@ -137,9 +137,12 @@ def list_records(
 
     ``fields`` maps names to rules: the common and product fields plus ``id``,
     ``raw_id`` and ``tags``. Region rules choose the regions and the fields read
-    there; child mode 0 turns into a father search range. Nothing is shuffled.
+    there; child mode 0 turns into a father search range. The last of the ``keep``
+    columns is the page's URL. Nothing is shuffled.
     """
     names = [*COMMON_FIELDS, "id", "raw_id", "tags"] + (PRODUCT_FIELDS if content_type == "product" else [])
+    if not set(names) & set(fields):
+        raise ValueError("no field to extract")
     rules = dict(fields)
     for region in region_rules or []:
         if region.child_block != 1:
@@ -150,13 +153,13 @@ def list_records(
     variable_of = {"id": "ID", "main_owner_id": "MAIN_OWNER_ID", "sub_owner_id": "SUB_OWNER_ID"}
 
     parsed = page_nodes(pages, keep=keep, text_tags=text_tags(list(rules.values())))
-    nodes = F.col("nodes")
+    nodes, nothing = F.col("nodes"), strings()
     parts = []
     for unit, region, found in _scopes(nodes, region_rules or [], plain, max_count, combine):
 
         def body(lo: Column, hi: Column, region: RegionRule = region) -> list[Column]:
             values = {
-                n: field_values(nodes, rules[n], lo, hi, region.child_max_count) if n in region.fields else strings()
+                n: field_values(nodes, rules[n], lo, hi, region.child_max_count) if n in region.fields else nothing
                 for n in names
             }
             return [
@@ -174,12 +177,15 @@ def list_records(
         built = combine_template(rules[name].combine, variables, layer="CATE_LIST")
         rows = rows.withColumn(name, F.when(F.array_contains("combined", F.lit(name)), built).otherwise(F.col(name)))
 
-    count = F.when(F.col("max_count") == -1, longest(*[F.col(n) for n in names])).otherwise(F.col("max_count"))
+    read = [n for n in names if n in rules]
+    count = F.when(F.col("max_count") == -1, longest(*[F.col(n) for n in read])).otherwise(F.col("max_count"))
     index = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i < count)
-    out = rows.select(*keep, "unit", "region_seq", *names, F.explode(index).alias("record_seq"))
-    page = F.col(keep[-1])
+    out = rows.select(*keep, "unit", "region_seq", *read, F.explode(index).alias("record_seq"))
+    page, blank = F.col(keep[-1]), F.lit("")
 
     def value(name: str) -> Column:
+        if name not in rules:
+            return blank
         v = F.coalesce(F.get(F.col(name), F.col("record_seq")), F.lit(""))
         return F.when(v != "", url_join(page, v)).otherwise("") if name == "link" else v
 

@@ -58,6 +58,8 @@ CLOSES = {
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
 P_LIMITS = frozenset("button td th caption html table".split())
+# Browsers stop nesting here too; it keeps ancestor lists short on hostile pages.
+MAX_DEPTH = 512
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -158,7 +160,7 @@ class _Page:
                 body = _html.unescape(body) if tag in RAW_DECODED else body
                 self.text[node] = " ".join(body.split())
             return closing.end() if closing else len(source)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append((node, len(self.pieces)))
         return at
 

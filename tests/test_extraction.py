@@ -135,3 +135,21 @@ def test_defaults(spark):
     for bad in (["a"], []), ([], ["d"]), (["a", "b"], ["d"]):
         with pytest.raises(ValueError):
             extract.with_defaults(frame, *bad)
+
+
+def test_deep_and_broken_pages(spark):
+    rows = [
+        (1, "u", "<div>" * 3000 + "x"), (2, "u", '<a href="never closed><p>y</p>'), (3, "u", None), (4, "u", "</p></div>plain < text & more &lt;"),
+        (5, "u", "<script>" + "var a;" * 10), (6, "u", "<!-- open <p>z</p>"), (7, "u", "<B CLASS=Q>up</b><br/>"),
+    ]
+    nodes = html_nodes(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    by = lambda page: [n for n in nodes if n.page_id == page]
+    assert len(by(1)) == 3000 and max(n.depth for n in by(1)) == 512
+    assert [n.tag for n in by(2)] == ["a", "p"] and not by(3) and not by(4) and not by(6)
+    assert by(5)[0].text == "var a;" * 10
+    assert [(n.tag, n.text) for n in by(7)] == [("b", "up"), ("br", "")] and by(7)[0].attrs == {"class": "Q"}
+
+
+def test_no_fields(page):
+    with pytest.raises(ValueError):
+        extract.list_records(page, {})
