@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import text_class
 from ..functions.urls import store_bucket
@@ -47,9 +48,9 @@ def file_size(frame: DataFrame) -> DataFrame:
 def bucket_report(ids: DataFrame, *, prefix: str = "CONTENT", length: int = 2) -> DataFrame:
     """AGG-07: ids per bucket and the bucket's load against the mean."""
     sizes = ids.groupBy(store_bucket("_id", prefix, length).alias("bucket")).agg(F.count("*").alias("n"))
-    total = ids.agg((F.count("*") / (16**length)).alias("mean_load"))
-    # One row.
-    return sizes.join(F.broadcast(total)).select("bucket", "n", (F.col("n") / F.col("mean_load")).alias("load"))
+    # At most 16^length rows, 256 by default.
+    mean = F.sum("n").over(W.partitionBy()) / 16**length
+    return sizes.select("bucket", "n", (F.col("n") / mean).alias("load"))
 
 
 def class_counts(df: DataFrame, column: str) -> DataFrame:
