@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import col
-from ..functions.text import is_trim_empty  # noqa: F401  (re-exported for rule files)
 from ..functions.urls import store_bucket
 from .extract import link_id_by_level
 from .skew import lookup_join
