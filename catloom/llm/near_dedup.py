@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_with_tasks, written
 from .common import BYTE_CODES_LOWER, NOT_SPACE, mixed, powers, query, row_blocks, table, text_bytes, words
@@ -218,7 +219,7 @@ class NearDuplicates:
         return self._rooted(rows, roots).withColumnRenamed("root", "component_id")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _digest(column: pa.Array) -> pa.Array:
     return pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in column.to_pylist()], pa.binary())
 
@@ -238,7 +239,8 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", wid
 
 OP5_SQL = r"""
 with recursive w as (
-    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 s as (
     select distinct doc_id, array_to_string(w[k : k + 1], ' ') as g
     from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as k from w where len(w) > 0)),
