@@ -18,7 +18,7 @@ ship_with_tasks(__name__)
 
 DEGREE = 40  # neighbours of a node, and reverse neighbours that join in
 ROUNDS = 4  # of joining neighbours of neighbours
-BEAM = 48
+BEAM = 128
 HOPS = 3
 # The first graph: nearest nodes in blocks of nodes that lie next to each other along random directions.
 DIRECTIONS = 4

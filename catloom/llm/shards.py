@@ -78,10 +78,16 @@ def best_fit(sizes: Iterable[int], capacity: int, bins: int | None = None) -> li
 
 
 def pack(sizes: list[int], bins: int) -> list[int]:
-    """Best fit decreasing into ``bins`` bins of the least capacity for which it succeeds; sizes come largest first."""
+    """Best fit decreasing into ``bins`` bins of the least capacity for which it succeeds; sizes come largest first.
+
+    What is larger than its even part of the rest fills a bin alone.
+    """
     if not sizes:
         return []
-    low, high = max(sizes[0], -(-sum(sizes) // bins)), sum(sizes)
+    total = sum(sizes)
+    if bins > 1 and sizes[0] * bins > total + bins:
+        return [0, *(1 + b for b in pack(sizes[1:], bins - 1))]
+    low, high = max(sizes[0], -(-total // bins)), total
     best = best_fit(sizes, high, bins)
     while low < high:
         mid = (low + high) // 2
