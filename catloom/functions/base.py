@@ -74,6 +74,10 @@ class JavaPattern:
     def group(self) -> int:
         return 1 if self.groups else 0
 
+    def followed_by(self, text: str) -> str:
+        end = self.text.index(")") + 1
+        return f"{self.text[:end]}(?:{self.text[end:]})(?:{text})"
+
     def full(self) -> str:
         end = self.text.index(")") + 1
         return f"{self.text[:end]}\\A(?:{self.text[end:]})\\z"

@@ -102,11 +102,21 @@ BACK_MARK = "&#8249;"
 # ---------------------------------------------------------------- regex and classes
 
 def extract_regex_key(value, regex: str) -> Column:
-    """First case-insensitive match: group 1 if the pattern has groups, else all of it."""
+    """First case-insensitive match: group 1 if a group of the pattern took part in it, else all of it."""
     pattern = JavaPattern(regex.strip(), ignore_case=True)
     if not regex.strip() or not pattern.valid:
         return F.lit("")
-    return F.coalesce(F.regexp_extract(trim_ws(value), pattern.text, pattern.group), F.lit(""))
+    text = trim_ws(value)
+    whole = F.regexp_extract(text, pattern.text, 0)
+    if not pattern.groups:
+        return F.coalesce(whole, F.lit(""))
+    parts = [F.regexp_extract(text, pattern.text, i) for i in range(1, pattern.groups + 1)]
+    # A group may have matched the empty text; then, and only then, a reference to it matches behind it.
+    took_part = F.rlike(text, F.lit(pattern.followed_by("|".join(f"\\{i}" for i in range(1, pattern.groups + 1)))))
+    some = took_part
+    for part in parts:
+        some = some | (part != "")
+    return F.coalesce(F.when(some, parts[0]).otherwise(whole), F.lit(""))
 
 
 def is_trim_empty(c) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import SortSpec
+from .sequence import dense_position
 from .skew import lookup_join, top_n_per_group
 
 
@@ -33,21 +34,28 @@ def nested_caps(
     return pages
 
 
-def stop_pages(pages: DataFrame, *, link: str, page_no: str, fresh: str, streak: int) -> DataFrame:
+def stop_pages(items: DataFrame, *, link: str, page_no: str, fresh: str, streak: int, pages: DataFrame | None = None) -> DataFrame:
     """WIN-06: per link, the page that ends the first ``streak`` pages in a row without new items.
 
-    ``pages`` has one row per item; page numbers of a link are consecutive. A page's
-    count is sent to the ``streak`` windows it belongs to, so no task ever holds
-    the whole history of a link.
+    ``items`` has one row per item. ``pages`` lists the pages that were read (``link``, ``page_no``); pages
+    without items count as nothing new, and pages in a row are those next to each other in the list, whatever their
+    numbers. Without ``pages`` the pages that have items are the list. A page's count is sent
+    to the ``streak`` windows it belongs to, so no task ever holds the whole history of a link.
     """
-    per_page = pages.groupBy(link, page_no).agg(F.sum(F.col(fresh).cast("int")).alias("_new"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(streak - 1)), lambda j: F.col(page_no) + j)
-    spans = per_page.select(link, "_new", F.explode(ends).alias("_end"))
-    full = spans.groupBy(link, "_end").agg(F.sum("_new").alias("_new"), F.count("*").alias("_pages"))
+    counts = items.groupBy(link, page_no).agg(F.sum(F.col(fresh).cast("int")).alias("_new"))
+    if pages is not None:
+        counts = pages.select(link, page_no).distinct().join(counts, [link, page_no], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    # Numbered over all links; a window across two links is not full for either.
+    placed = dense_position(counts, [link, page_no], "_pos")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(streak - 1)), lambda j: F.col("_pos") + j)
+    spans = placed.select(link, page_no, "_new", "_pos", F.explode(ends).alias("_end"))
+    full = spans.groupBy(link, "_end").agg(
+        F.sum("_new").alias("_new"), F.count("*").alias("_pages"), F.max(F.when(F.col("_pos") == F.col("_end"), F.col(page_no))).alias("_last")
+    )
     return (
-        full.filter((F.col("_pages") == streak) & (F.col("_new") == 0))
+        full.filter((F.col("_pages") == streak) & (F.col("_new") == 0) & F.col("_last").isNotNull())
         .groupBy(link)
-        .agg(F.min("_end").alias("stop_page"))
+        .agg(F.min("_last").alias("stop_page"))
     )
 
 

@@ -125,38 +125,33 @@ def backfill_ids(links: DataFrame, index: DataFrame, *, strict: bool = True) ->
     return _checked(out, problem, "cate_ids_path", strict).drop("_key", "_n")
 
 
-def backfill_links(links: DataFrame, *, key: str = "url", strict: bool = True) -> DataFrame:
+def backfill_links(links: DataFrame, *, strict: bool = True) -> DataFrame:
     """JN-02: URLs of every prefix of a link's name path, root first.
 
-    Each link asks for its prefixes, at most one per level. The many links that
-    share a root ask for the same row, hence the salted lookup.
+    What a link gets depends on its name path alone, so every different path asks once for its prefixes, at
+    most one per level, and the links are joined with the answer by path. Links may share a URL.
     """
     keyed = links.withColumn("_key", path_keys("cate_names_path"))
     urls = keyed.groupBy("_key").agg(F.min("url").alias("_url"), F.count("*").alias("_n"))
-    asks = keyed.select(
-        F.col(key).alias("_id"),
-        F.posexplode(
-            F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.size("_key"), F.lit(1))), lambda n: n <= F.size("_key")),
-                lambda n: F.slice(F.col("_key"), F.lit(1), n),
-            )
-        ).alias("_pos", "_key"),
+    lengths = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_path"), F.lit(1))), lambda n: n <= F.size("_path"))
+    asks = urls.select(F.col("_key").alias("_path")).select(
+        "_path", F.posexplode(F.transform(lengths, lambda n: F.slice(F.col("_path"), F.lit(1), n))).alias("_pos", "_key")
     )
-    found = lookup_join(asks, urls, ["_key"], "left", spread=["_id", "_pos"])
-    paths = found.groupBy("_id").agg(
+    found = lookup_join(asks, urls, ["_key"], "left")
+    paths = found.groupBy("_path").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_pos", F.col("_url").alias("u")))), lambda s: s["u"]
         ).alias("cate_links_path"),
         F.max("_n").alias("_n"),
         F.count_if(F.col("_url").isNull()).alias("_missing"),
     )
-    out = keyed.drop("cate_links_path").join(paths, F.col(key) == F.col("_id"), "left")
+    out = keyed.drop("cate_links_path").join(paths, F.col("_key") == F.col("_path"), "left")
     problem = (
         F.when(F.col("_n") > 1, "category path is not unique: ")
         .when(F.col("_missing") > 0, "a prefix of the category path has no link: ")
     )
     out = _checked(out, problem, "cate_links_path", strict)
-    return out.drop("_key", "_id", "_n", "_missing")
+    return out.drop("_key", "_path", "_n", "_missing")
 
 
 def _checked(df: DataFrame, problem: Column, result: str, strict: bool) -> DataFrame:
@@ -267,42 +262,39 @@ def repair_levels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_shared_head(df: DataFrame, path: str) -> DataFrame:
     """AGG-10: strip leading path elements that all rows share, keeping at least one element.
 
-    One aggregate over the prefixes of up to five levels decides how many.
+    One aggregate finds the shortest path, a second compares as many prefixes as that path allows.
     """
+    shortest = df.agg(F.min(F.size(path)).alias("n")).first()["n"] or 0
+    if shortest < 2:
+        return df
     prefix = lambda n: F.slice(F.col(path), 1, n)
-    facts = df.agg(
-        F.min(F.size(path)).alias("shortest"),
-        *[(F.min(prefix(n)) == F.max(prefix(n))).alias(f"s{n}") for n in range(1, LEVELS)],
-    ).first()
-    shared = 0
-    while shared < LEVELS - 1 and facts[f"s{shared + 1}"] and facts["shortest"] > shared + 1:
-        shared += 1
+    facts = df.agg(*[(F.min(prefix(n)) == F.max(prefix(n))).alias(f"s{n}") for n in range(1, shortest)]).first()
+    shared = next((n - 1 for n in range(1, shortest) if not facts[f"s{n}"]), shortest - 1)
     return df.withColumn(path, F.slice(F.col(path), F.lit(shared + 1), F.size(path))) if shared else df
 
 
 # ---------------------------------------------------------------- tree and index
 
-def walk_tree(links: DataFrame, *, key: str, parent: str, name: str, levels: int = LEVELS) -> DataFrame:
-    """JN-11: level and name path of every row that hangs under a root (``parent`` NULL).
+def walk_tree(links: DataFrame, *, key: str, parent: str, name: str, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """JN-11: ``(placed, rejected)``: level and name path of every row that hangs under a root (``parent`` NULL),
+    and the keys of rows that don't: deeper than ``levels``, in a cycle, or below a missing parent.
 
-    Each row climbs to its root, one salted lookup per level, so rows are read once
-    and nothing is collected per tree. Every level is written to the shared folder,
-    so looking for hot parents never repeats the joins before it. Rows deeper than
-    ``levels`` or in a cycle drop out.
+    Each row climbs to its root, one lookup per level, with keys only; names are joined on the way. Every level
+    is written to the shared folder, and rows that have reached their root climb no further.
     """
-    parents = links.select(
-        F.col(key).alias("_up"), F.col(parent).alias("_next"), F.col(name).alias("_name")
-    )
+    parents = links.select(F.col(key).alias("_up"), F.col(parent).alias("_next"), F.col(name).alias("_name"))
     rows = links.select(key, F.col(parent).alias("_up"), F.array(F.col(name)).alias("path"))
-    for level in range(levels - 1):
-        rows = written(rows, f"walk-{level}")
-        found = F.col("_name").isNotNull()
-        rows = lookup_join(rows, parents, ["_up"], "left", spread=[key]).select(
-            key,
-            F.when(found, F.col("_next")).otherwise(F.col("_up")).alias("_up"),
-            F.when(found, F.array_prepend(F.col("path"), F.col("_name"))).otherwise(F.col("path")).alias("path"),
+    done = rows.filter(F.col("_up").isNull())
+    open_ = written(rows.filter(F.col("_up").isNotNull()), "walk-0")
+    for level in range(1, levels):
+        climbed = lookup_join(open_, parents, ["_up"], "left").select(
+            key, F.when(F.col("_name").isNotNull(), F.col("_next")).otherwise(F.col("_up")).alias("_up"),
+            F.when(F.col("_name").isNotNull(), F.array_prepend(F.col("path"), F.col("_name"))).otherwise(F.col("path")).alias("path"),
         )
-    return rows.filter(F.col("_up").isNull()).select(key, "path", (F.size("path") - 1).alias("level"))
+        step = written(climbed, f"walk-{level}")
+        done = done.unionByName(step.filter(F.col("_up").isNull()))
+        open_ = step.filter(F.col("_up").isNotNull())
+    return done.select(key, "path", (F.size("path") - 1).alias("level")), open_.select(key)
 
 
 def build_index(paths: DataFrame, names_path: str, *, max_ids: int = OTHER_ID - 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import col
 from ..functions.urls import store_bucket
+from ..session import written
 from .extract import link_id_by_level
 from .skew import lookup_join
 
@@ -86,7 +87,7 @@ def new_links(lines: DataFrame, history: DataFrame, level_regex: dict[int, str],
     """AGG-05: link lines not yet in ``history``, first of each key; malformed lines drop out."""
     keyed = lines.withColumn("link_key", link_key("line", level_regex)).filter(F.col("link_key").isNotNull())
     known = history.select(link_key("line", level_regex).alias("link_key")).filter(F.col("link_key").isNotNull())
-    return unseen(keep_first(keyed, ["link_key"], [order]), known, ["link_key"])
+    return unseen_in_history(written(keep_first(keyed, ["link_key"], [order]), "links"), known, ["link_key"])
 
 
 # ---------------------------------------------------------------- lookups and tiers
@@ -95,10 +96,19 @@ def with_bucket(df: DataFrame, *, prefix: str = "CONTENT", length: int = 2, doc_
     return df.withColumn("bucket", store_bucket(doc_id, prefix, length))
 
 
+def in_buckets(batch: DataFrame) -> Column:
+    """The condition that a stored row lies in a bucket of the batch: a partition filter with literal names.
+
+    Buckets are the last characters of a digest, so there are at most 16 to the power of their length.
+    """
+    names = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+    return F.col("bucket").isin(*names) if names else F.lit(False)
+
+
 def get_documents(store: DataFrame, ids: DataFrame, *, prefix: str = "CONTENT", length: int = 2) -> DataFrame:
-    """JN-04: stored documents of the listed ids; bucket is part of the key, so partitions prune."""
-    wanted = with_bucket(ids.select("_id").distinct(), prefix=prefix, length=length)
-    return store.join(wanted, ["bucket", "_id"], "left_semi")
+    """JN-04: stored documents of the listed ids. Only the buckets of these ids are read."""
+    wanted = written(with_bucket(ids.select("_id").distinct(), prefix=prefix, length=length), "wanted")
+    return store.filter(in_buckets(wanted)).join(wanted, ["bucket", "_id"], "left_semi")
 
 
 def get_cached(requests: DataFrame, cache: DataFrame, *, now: int, order: str = "pos") -> DataFrame:
@@ -111,12 +121,19 @@ def tiers(batch: DataFrame, cache: DataFrame, store: DataFrame, *, now: int, ord
     """JN-06: first row of each ``_id`` with the tier that knows it: ``cache``, ``store`` or ``new``.
 
     ``new`` rows are to be inserted, ``store`` rows to be put back into the cache.
-    Both lookups run on unique keys, after the batch has collapsed.
+    The batch collapses and is written down; the cache is cut to the batch's ids before it is shuffled, and the
+    store, by bucket where it has one, to the ids that the cache lacks.
     """
-    first = keep_first(batch, ["_id"], order)
+    first = written(keep_first(batch, ["_id"], order), "first")
     live = cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-    flag = lambda df, name: df.select("_id").distinct().withColumn(name, F.lit(True))
-    joined = first.join(flag(live, "_cached"), "_id", "left").join(flag(store, "_stored"), "_id", "left")
+    cached = written(live.select("_id").join(first.select("_id"), "_id", "left_semi").distinct(), "cached")
+    asked = written(first.select("_id").join(cached, "_id", "left_anti"), "asked")
+    if "bucket" in store.columns:
+        stored = get_documents(store, asked).select("_id")
+    else:
+        stored = store.select("_id").join(asked, "_id", "left_semi")
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    joined = first.join(flag(cached, "_cached"), "_id", "left").join(flag(stored, "_stored"), "_id", "left")
     tier = F.when(F.col("_cached"), "cache").when(F.col("_stored"), "store").otherwise("new")
     return joined.withColumn("tier", tier).drop("_cached", "_stored")
 

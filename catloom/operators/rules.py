@@ -1,19 +1,14 @@
-"""Extraction rules: small driver-side objects that compile to Column expressions.
-
-Selectors cover tags, ``.class``, ``#id``, ``[attr]`` tests, descendant and child
-steps, and lists of selectors; XPath covers ``//tag[@a='v']/child`` and
-``contains(@a, 'v')``. Any other selector finds nothing, as a failing one does.
-"""
+"""Extraction rules: small driver-side objects that compile to Column expressions."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.base import JavaPattern, trim_ws
+from .selectors import Selector, select_nodes
 
 # Field names of list records, and how many region rules a layer has.
 COMMON_FIELDS = (
@@ -46,163 +41,6 @@ class RegionRule:
     combine_fields: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
-class _Step:
-    link: str  # ' ' descendant, '>' child, '/' root
-    tag: str
-    tests: tuple[tuple[str, str, str], ...] = field(default=())
-
-
-_CSS_PART = re.compile(
-    r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)"
-    r"|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+)))?\s*\]",
-    re.ASCII,
-)
-_XPATH_STEP = re.compile(r"(?P<axis>//|/)(?P<tag>[\w-]+|\*)(?P<tests>(?:\[[^\]]*\])*)", re.ASCII)
-_XPATH_TEST = re.compile(
-    r"\[\s*(?:@(?P<attr>[\w-]+)\s*(?:=\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'))?"
-    r"|contains\(\s*@(?P<cattr>[\w-]+)\s*,\s*(?:\"(?P<cdq>[^\"]*)\"|'(?P<csq>[^']*)')\s*\))\s*\]"
-)
-
-
-def _css_compound(text: str, link: str) -> _Step | None:
-    head = re.match(r"[a-zA-Z][\w-]*|\*", text)
-    tag, at, tests = (head[0].lower(), head.end(), []) if head else ("*", 0, [])
-    while at < len(text):
-        part = _CSS_PART.match(text, at)
-        if not part:
-            return None
-        at = part.end()
-        if part["cls"]:
-            tests.append(("class", "~=", part["cls"]))
-        elif part["id"]:
-            tests.append(("id", "=", part["id"]))
-        else:
-            value = next((v for v in (part["dq"], part["sq"], part["bare"]) if v is not None), "")
-            tests.append((part["attr"].lower(), part["op"] or "", value))
-    return _Step(link, tag, tuple(tests)) if (head or tests) else None
-
-
-def _css_steps(text: str) -> list[_Step] | None:
-    tokens = re.findall(r"\[[^\]]*\]|>|\s+|[^\s>\[]+", text.strip())
-    steps: list[_Step] = []
-    link, compound = " ", ""
-    for token in [*tokens, " "]:
-        if token.strip() not in ("", ">"):
-            compound += token
-            continue
-        if compound:
-            step = _css_compound(compound, link)
-            if step is None:
-                return None
-            steps.append(step)
-            link, compound = " ", ""
-        if token.strip() == ">":
-            if link == ">" or not steps:
-                return None
-            link = ">"
-    return steps if steps and link == " " else None
-
-
-def _xpath_steps(text: str) -> list[_Step] | None:
-    text = text.strip().removeprefix("xpath=").removeprefix(".")
-    steps, at = [], 0
-    while at < len(text):
-        hit = _XPATH_STEP.match(text, at)
-        if not hit:
-            return None
-        at, tests, inner = hit.end(), [], 0
-        while inner < len(hit["tests"]):
-            test = _XPATH_TEST.match(hit["tests"], inner)
-            if not test:
-                return None
-            inner = test.end()
-            if test["cattr"]:
-                tests.append((test["cattr"].lower(), "*=", test["cdq"] if test["cdq"] is not None else test["csq"]))
-            else:
-                value = test["dq"] if test["dq"] is not None else test["sq"]
-                tests.append((test["attr"].lower(), "" if value is None else "=", value or ""))
-        link = " " if hit["axis"] == "//" else (">" if steps else "/")
-        steps.append(_Step(link, hit["tag"].lower(), tuple(tests)))
-    return steps or None
-
-
-@dataclass(frozen=True)
-class Selector:
-    """A compiled selector: alternatives, each a chain of steps. Empty matches nothing."""
-
-    chains: tuple[tuple[_Step, ...], ...] = ()
-
-    @staticmethod
-    def of(css: str = "", xpath: str = "") -> Selector:
-        """CSS first, else XPath, else nothing."""
-        if css:
-            parts = [_css_steps(p) for p in re.split(r",(?![^\[]*\])", css)]
-        elif xpath:
-            parts = [_xpath_steps(xpath)]
-        else:
-            parts = []
-        if not parts or any(p is None for p in parts):
-            return Selector()
-        return Selector(tuple(tuple(p) for p in parts if p))
-
-    def target_tags(self) -> set[str] | None:
-        """Tags the selector can end on; None when any tag is possible."""
-        tags = {chain[-1].tag for chain in self.chains}
-        return None if "*" in tags else tags
-
-    def matches(self, nodes: Column, node: Column, lowest: Column) -> Column:
-        """Does ``node`` match, with every step at or below element ``lowest``?"""
-        result = F.lit(False)
-        for chain in self.chains:
-            result = result | _chain_matches(chain, nodes, node, lowest)
-        return result if self.chains else F.lit(False)
-
-
-def _step_matches(step: _Step, node: Column) -> Column:
-    checks = [] if step.tag == "*" else [node.tag == step.tag]
-    for attr, op, value in step.tests:
-        have = F.try_element_at(node.attrs, F.lit(attr))
-        if op == "":
-            check = have.isNotNull()
-        elif op == "=":
-            check = have == value
-        elif op == "~=":
-            check = have.rlike(r"(?:\A|\s)" + re.escape(value) + r"(?:\s|\z)")
-        elif op == "^=":
-            check = F.startswith(have, F.lit(value)) & F.lit(value != "")
-        elif op == "$=":
-            check = F.endswith(have, F.lit(value)) & F.lit(value != "")
-        elif op == "*=":
-            check = F.contains(have, F.lit(value)) & F.lit(value != "")
-        else:
-            check = (have == value) | F.startswith(have, F.lit(value + "-"))
-        checks.append(F.coalesce(check, F.lit(False)))
-    result = F.lit(True)
-    for check in checks:
-        result = result & check
-    return result
-
-
-def _chain_matches(chain: tuple[_Step, ...], nodes: Column, node: Column, lowest: Column) -> Column:
-    last, before = chain[-1], chain[:-1]
-    own = _step_matches(last, node)
-    if not before:
-        return own & (node.parent_id == -1) if last.link == "/" else own
-    if last.link == ">":
-        return own & (node.parent_id >= lowest) & _chain_matches(before, nodes, F.get(nodes, node.parent_id), lowest)
-    return own & F.exists(
-        node.ancestors,
-        lambda a: (a >= lowest) & _chain_matches(before, nodes, F.get(nodes, a), lowest),
-    )
-
-
-def select_nodes(nodes: Column, selector: Selector, lo: Column, hi: Column) -> Column:
-    """Elements below ``lo`` (down to ``hi``) that match, in document order."""
-    inside = F.slice(nodes, lo + 2, F.greatest(hi - lo, F.lit(0)))
-    return F.filter(inside, lambda n: selector.matches(nodes, n, lo))
-
-
 def strip_regex_prefix(regex: str) -> str:
     return regex.removeprefix("regex:")
 
@@ -243,14 +81,8 @@ def field_values(nodes: Column, rule: FieldRule, lo: Column, hi: Column, max_cou
     if rule.father_css or rule.father_xpath:
         father = Selector.of(rule.father_css, rule.father_xpath)
         max_count = rule.father_child_max_count
-        inside = F.slice(nodes, lo + 2, F.greatest(hi - lo, F.lit(0)))
-        found = F.filter(
-            inside,
-            lambda n: F.exists(
-                n.ancestors,
-                lambda f: (f > lo) & father.matches(nodes, F.get(nodes, f), lo) & selector.matches(nodes, n, f),
-            ),
-        )
+        ranges = F.transform(father.ids(nodes, lo, hi), lambda f: selector.ids(nodes, f, F.get(nodes, f)["end_id"]))
+        found = F.transform(F.array_sort(F.array_distinct(F.flatten(ranges))), lambda i: F.get(nodes, i))
     else:
         found = select_nodes(nodes, selector, lo, hi)
     read = (
@@ -279,7 +111,7 @@ def regions(nodes: Column, rules: list[RegionRule]) -> tuple[list[tuple[int, Reg
 
 
 def _page_matches(nodes: Column, selector: Selector) -> Column:
-    return F.filter(nodes, lambda n: selector.matches(nodes, n, F.lit(-1)))
+    return select_nodes(nodes, selector, F.lit(-1), F.size(nodes) - 1)
 
 
 def text_tags(rules: list[FieldRule]) -> set[str] | None:

@@ -8,22 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SMALL_N = 50
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], *, share: float = 0.02) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows (at most ``1 / share`` of them).
-
-    One map-side combined pass over the key columns. The counts are approximate;
-    they only decide how a join is spread, never its result.
-    """
-    limit = int(1 / share)
-    seen = df.select(F.xxhash64(*keys).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {2 * limit})").alias("top"), F.count("*").alias("n")
-    ).first()
-    return [r["item"] for r in seen["top"] if r["item"] is not None and r["count"] >= share * seen["n"]]
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -34,17 +18,16 @@ def lookup_join(
     salts: int = 32,
     hot: list[int] | None = None,
 ) -> DataFrame:
-    """Equi-join against a side that is unique on ``keys``, with hot left keys salted.
+    """Equi-join against a side that is unique on ``keys``.
 
-    Rows of a hot key go to ``salts`` places by the hash of their ``spread``
-    columns (all columns by default; name a row id if rows may repeat), and the
-    one matching right row is copied to each. Other rows join as usual, and AQE
-    may still broadcast a small right side.
+    Adaptive execution splits the partitions of hot left keys and may broadcast a small right side, so no
+    more is needed as a rule. For keys that are known to be hot, ``hot`` gives their ``xxhash64`` values: their rows go
+    to ``salts`` places by the hash of their ``spread`` columns (all columns by default; name a row id if rows may
+    repeat), and the one matching right row is copied to each.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do {how!r}")
     keys = list(keys)
-    hot = hot_keys(left, keys) if hot is None else hot
     if not hot:
         return left.join(right, keys, how)
     is_hot = F.xxhash64(*keys).isin(*hot)
@@ -62,28 +45,23 @@ def top_n_per_group(
     n: int,
     *,
     spread: Sequence[str],
-    salts: int = 32,
+    salts: int | None = None,
     rank: str | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each group in a total order.
 
-    For small ``n`` Spark itself cuts each task's share of a group to ``n`` rows before
-    the shuffle. For larger ``n`` every group is first cut to ``n`` rows in each of
-    ``salts`` parts, so the final window sees at most ``salts * n`` rows of a group
-    however large it is and however many tasks read it.
+    Every group is first cut to ``n`` rows in each of ``salts`` parts (as many as there are shuffle partitions, if
+    not given), so the final window sees at most ``salts * n`` rows of a group however large it is.
     """
-    ranked = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    if n <= SMALL_N:
-        cut = df.withColumn("_rn", ranked).filter(F.col("_rn") <= n)
-    else:
-        part = F.pmod(F.xxhash64(*spread), F.lit(salts))
-        in_part = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
-        cut = (
-            df.withColumn("_part", part)
-            .withColumn("_rn", in_part)
-            .filter(F.col("_rn") <= n)
-            .withColumn("_rn", ranked)
-            .filter(F.col("_rn") <= n)
-            .drop("_part")
-        )
+    parts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*spread), F.lit(parts))
+    in_part = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    cut = (
+        df.withColumn("_part", part)
+        .withColumn("_rn", in_part)
+        .filter(F.col("_rn") <= n)
+        .withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        .filter(F.col("_rn") <= n)
+        .drop("_part")
+    )
     return cut.withColumnRenamed("_rn", rank) if rank else cut.drop("_rn")

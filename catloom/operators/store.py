@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, written
-from ..sources.readers import path_exists
-from .dedup import keep_first, unseen_in_history, with_bucket
+from ..session import path_exists, scratch, written
+from .dedup import in_buckets, keep_first, unseen_in_history, with_bucket
 
 
 class ContentStore:
     """Documents by ``_id`` in hash buckets, one folder per bucket.
 
-    ``_id`` is an md5, so buckets stay even; reads that name ids or buckets prune
-    to the folders they need.
+    ``_id`` is an md5, so buckets stay even. Reads for a batch name its buckets, at most
+    ``16 ** length`` short texts, so folders without any of its ids are not opened.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema, *, prefix: str = "CONTENT", length: int = 2):
@@ -34,6 +33,10 @@ class ContentStore:
         docs = docs.filter(F.col("_id").isNotNull())
         return docs if condition is None else docs.filter(condition)
 
+    def read_for(self, batch: DataFrame) -> DataFrame:
+        """The documents in the buckets of a batch."""
+        return self.read(in_buckets(batch))
+
     def find_one(self, condition: Column) -> DataFrame:
         """SRC-14: at most one matching document."""
         return self.read(condition).limit(1)
@@ -55,7 +58,8 @@ class ContentStore:
         returned and those stored are the same even if tasks are retried.
         """
         first = with_bucket(keep_first(docs, ["_id"], order), prefix=self.prefix, length=self.length)
-        fresh = unseen_in_history(written(first, "batch"), self.read(), ["bucket", "_id"])
+        batch = written(first, "batch")
+        fresh = unseen_in_history(batch, self.read_for(batch), ["bucket", "_id"])
         fresh = written(fresh.select(*first.columns), "insert")
         self._append(fresh.select(*[f.name for f in self._full_schema()]))
         return fresh
@@ -68,8 +72,7 @@ class ContentStore:
             ),
             "upsert",
         )
-        touched = patch.select("bucket").distinct()
-        kept = self.read().join(touched, "bucket", "left_semi").join(patch.select("bucket", "_id"), ["bucket", "_id"], "left_anti")
+        kept = self.read_for(patch).join(patch.select("bucket", "_id"), ["bucket", "_id"], "left_anti")
         self._replace(kept.unionByName(patch))
 
     def update_one(self, condition: Column, changes: dict[str, Column]) -> None:

@@ -107,7 +107,9 @@ def _attributes(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prj_04_selector_choice",
     """select page_id, cast(len(regexp_extract_all(html, '<a ')) as bigint) as by_css,
-       cast(len(regexp_extract_all(html, '<h1>')) as bigint) as by_xpath, cast(0 as bigint) as by_none, cast(0 as bigint) as unsupported from pages""",
+       cast(len(regexp_extract_all(html, '<h1>')) as bigint) as by_xpath, cast(0 as bigint) as by_none,
+       cast(len(regexp_extract_all(html, '<a ')) > 1 as bigint) as second_item, cast(len(regexp_extract_all(html, '<a ')) - 1 as bigint) as later_items,
+       cast(len(regexp_extract_all(html, '<a ')) as bigint) as texts from pages""",
 )
 def _selector_choice(spark: SparkSession, sf: str) -> DataFrame:
     nodes, last = F.col("nodes"), F.size("nodes") - 1
@@ -117,7 +119,9 @@ def _selector_choice(spark: SparkSession, sf: str) -> DataFrame:
         count(FieldRule(css="a", xpath="//h1")).alias("by_css"),
         count(FieldRule(xpath="//article/h1")).alias("by_xpath"),
         count(FieldRule()).alias("by_none"),
-        count(FieldRule(css="a:nth-child(2)")).alias("unsupported"),
+        count(FieldRule(css="nav li:nth-child(2) > a:only-child")).alias("second_item"),
+        count(FieldRule(css="nav li:not(:first-child) a, nav li + li a")).alias("later_items"),
+        count(FieldRule(xpath="//nav/ul/li[position()>=1]/a[1][@href and not(contains(@href, '://'))] | //nope[last()]")).alias("texts"),
     )
 
 

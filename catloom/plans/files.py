@@ -145,7 +145,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
     orders.select("o_orderstatus").write.text(broken)
     out = None
     for kind, path in (("stored", good), ("missing", scratch(spark, "none")), ("broken", broken)):
-        frame = readers.read_or_empty(spark, path, _ORDER_SCHEMA)
+        frame = readers.read_history(spark, path, _ORDER_SCHEMA)
         row = frame.agg(F.count("o_orderkey").alias("n")).select(F.lit(kind).alias("kind"), "n")
         out = row if out is None else out.unionByName(row)
     return out

@@ -320,7 +320,7 @@ _STOP_SQL = """e as (select event_id, event_type as link, cast(floor(epoch(ts) /
       user_id % 40 as item from events),
     f as (select *, row_number() over (partition by link, item order by page_no, event_id) = 1 as is_new from e),
     p as (select link, page_no, sum(is_new::int) as fresh from f group by all),
-    w as (select *, sum(fresh) over (partition by link order by page_no range between 2 preceding and current row) as s, count(*) over (partition by link order by page_no range between 2 preceding and current row) as c from p),
+    w as (select *, sum(fresh) over (partition by link order by page_no rows between 2 preceding and current row) as s, count(*) over (partition by link order by page_no rows between 2 preceding and current row) as c from p),
     stops as (select link, min(page_no) as stop_page from w where c = 3 and s = 0 group by 1)"""
 
 

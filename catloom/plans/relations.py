@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import category, dedup, extract, progress, sequence, stats
 from ..operators.rules import Selector
 from ..operators.skew import lookup_join
-from ..sources.html import html_nodes
+from ..sources.html import page_nodes
 from .catalog import query, table
 from .extraction import anchors, level_frame
 from .views import ANCHOR_SQL, HOST_SQL, LINK_SQL, PATH_SQL, TEXT_SQL, category_links, customer_paths, seconds, texts
@@ -123,14 +123,14 @@ def _tiers(spark: SparkSession, sf: str) -> DataFrame:
     f"with {ANCHOR_SQL} select page_id, 'nav' as father, count(*) as n, string_agg(name, '|' order by pos) as names from anchors group by 1 union all select page_id, 'article', 1, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) from pages",
 )
 def _containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Children under their fathers by the node table's ancestor ids: an equi-join, no range pairs."""
-    nodes = html_nodes(table(spark, sf, "pages"), text_tags={"a", "h1"})
-    fathers = nodes.filter(F.col("tag").isin("nav", "article")).select("page_id", F.col("node_id").alias("up"), F.col("tag").alias("father"))
-    children = nodes.filter(F.col("tag").isin("a", "h1")).select("page_id", "node_id", "text", F.explode("ancestors").alias("up"))
-    found = children.join(fathers, ["page_id", "up"])
-    names = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda s: s["text"])
-    # The elements of one page under one father.
-    return found.groupBy("page_id", "father").agg(F.count("*").alias("n"), F.array_join(names, "|").alias("names"))
+    """Children under their fathers, inside the page's own row: a father's elements are a slice of the page's."""
+    parsed = page_nodes(table(spark, sf, "pages"), text_tags={"a", "h1"})
+    fathers = F.filter("nodes", lambda n: n.tag.isin("nav", "article"))
+    rows = parsed.select("page_id", "nodes", F.explode(fathers).alias("f"))
+    below = F.slice("nodes", F.col("f.node_id") + 2, F.col("f.end_id") - F.col("f.node_id"))
+    names = F.transform(F.filter(below, lambda n: n.tag.isin("a", "h1")), lambda n: n.text)
+    found = rows.select("page_id", F.col("f.tag").alias("father"), names.alias("names")).filter(F.size("names") > 0)
+    return found.select("page_id", "father", F.size("names").cast("bigint").alias("n"), F.array_join("names", "|").alias("names"))
 
 
 _STATE_SQL = """states as (select user_id as link_index, arg_max(case when event_type = 'purchase' then 'COMPLETED_END' else 'https://x.example.com/' || event_type || '/' || event_id end, struct_pack(t := floor(epoch(ts)), e := event_id)) as state,
@@ -229,7 +229,7 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     edges = paths.select(
         "url", F.when(F.size(p) > 1, F.get(p, F.size(p) - 2)).alias("parent"), F.element_at("cate_names_path", -1).alias("name")
     )
-    out = category.walk_tree(edges, key="url", parent="parent", name="name")
+    out, _ = category.walk_tree(edges, key="url", parent="parent", name="name")
     return out.select("url", F.array_join("path", "/").alias("path"), F.col("level").cast("bigint").alias("level"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,18 +13,6 @@ from .catalog import query, table
 from .relations import link_events
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Keep a stream's state in at most two partitions per core; the number is fixed when the query first starts."""
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def _as_stream(df: DataFrame, name: str, *, parts: int = 3, key: str = "event_id", files_per_batch: int = 1) -> DataFrame:
     """A frame as files of a folder, and the folder as a stream of several batches."""
     path = scratch(df.sparkSession, name)
@@ -38,8 +23,7 @@ def _as_stream(df: DataFrame, name: str, *, parts: int = 3, key: str = "event_id
 def _drain(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     target = scratch(spark, name)
-    with state_partitions(spark):
-        batches.run(stream, lambda batch, _: batch.write.mode("append").parquet(target), scratch(spark, "cp")).awaitTermination()
+    batches.run(stream, lambda batch, _: batch.write.mode("append").parquet(target), scratch(spark, "cp")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
 
 
@@ -101,8 +85,8 @@ def _micro(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(*_ORDER.fieldNames())
     stream = _as_stream(orders, "orders-in", key="o_orderkey")
     batches.fan_out(stream, {f: f"{root}/{f}" for f in ("jsonl", "parquet")}, scratch(spark, "cp")).awaitTermination()
-    jsonl = spark.read.schema(_ORDER).json(f"{root}/jsonl").withColumn("format", F.lit("jsonl"))
-    parquet = spark.read.schema(_ORDER).parquet(f"{root}/parquet").withColumn("format", F.lit("parquet"))
+    jsonl = spark.read.schema(_ORDER).json(f"{root}/jsonl").drop("batch").withColumn("format", F.lit("jsonl"))
+    parquet = spark.read.schema(_ORDER).parquet(f"{root}/parquet").drop("batch").withColumn("format", F.lit("parquet"))
     return jsonl.unionByName(parquet).groupBy("format").agg(F.count("*").alias("n"))
 
 

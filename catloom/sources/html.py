@@ -26,7 +26,11 @@ NODE = T.StructType(
         T.StructField("depth", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("ancestors", T.ArrayType(T.IntegerType())),
+        # Places among the elements and the elements of one tag below a parent, from 1, from the front and from the back.
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("pos_back", T.IntegerType()),
+        T.StructField("type_pos", T.IntegerType()),
+        T.StructField("type_back", T.IntegerType()),
         T.StructField("text", T.StringType()),
     ]
 )
@@ -58,8 +62,6 @@ CLOSES = {
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
 P_LIMITS = frozenset("button td th caption html table".split())
-# Browsers stop nesting here too; it keeps ancestor lists short on hostile pages.
-MAX_DEPTH = 512
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -87,31 +89,49 @@ class _Page:
         self.parent: list[int] = []
         self.tag: list[str] = []
         self.attrs: list[dict[str, str]] = []
-        self.ancestors: list[list[int]] = []
+        self.depth: list[int] = []
         self.text: list[str] = []
         self.pieces: list[str] = []
         self.open: list[tuple[int, int]] = []  # (node id, first text piece)
+        self.opened: dict[str, int] = {}  # how many of a tag are open
 
     def push(self, tag: str, attrs: dict[str, str]) -> int:
         node = len(self.tag)
         self.tag.append(tag)
         self.attrs.append(attrs)
         self.parent.append(self.open[-1][0] if self.open else -1)
-        self.ancestors.append([i for i, _ in self.open])
+        self.depth.append(len(self.open))
         self.end.append(node)
         self.text.append("")
         return node
 
     def pop(self) -> None:
         node, start = self.open.pop()
+        self.opened[self.tag[node]] -= 1
         self.end[node] = len(self.tag) - 1
         if self.text_tags is None or self.tag[node] in self.text_tags:
             self.text[node] = " ".join("".join(self.pieces[start:]).split())
         if self.tag[node] in BLOCK:
             self.pieces.append(" ")
 
+    def places(self) -> list[tuple[int, int, int, int]]:
+        """The places of all elements: each counts its parent's elements so far, then is taken from the whole number."""
+        total: dict[tuple[int, str], int] = {}
+        front = []
+        for parent, tag in zip(self.parent, self.tag, strict=True):
+            both = [(parent, ""), (parent, tag)]
+            for key in both:
+                total[key] = total.get(key, 0) + 1
+            front.append([total[key] for key in both])
+        return [
+            (p, total[parent, ""] - p + 1, t, total[parent, tag] - t + 1)
+            for (p, t), parent, tag in zip(front, self.parent, self.tag, strict=True)
+        ]
+
     def close_to(self, names: Iterable[str], limits: Iterable[str]) -> None:
         """Close the outermost open element of ``names`` this side of ``limits``."""
+        if not any(self.opened.get(name, 0) for name in names):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             tag = self.tag[self.open[at][0]]
             if tag in limits:
@@ -140,7 +160,7 @@ class _Page:
         return self
 
     def _end_tag(self, tag: str) -> None:
-        if any(self.tag[i] == tag for i, _ in self.open):
+        if self.opened.get(tag, 0):
             while self.tag[self.open[-1][0]] != tag:
                 self.pop()
             self.pop()
@@ -160,8 +180,9 @@ class _Page:
                 body = _html.unescape(body) if tag in RAW_DECODED else body
                 self.text[node] = " ".join(body.split())
             return closing.end() if closing else len(source)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
             self.open.append((node, len(self.pieces)))
+            self.opened[tag] = self.opened.get(tag, 0) + 1
         return at
 
 
@@ -175,21 +196,22 @@ def _offsets(lists: list[list]) -> pa.Array:
 
 def _nested(pages: list[_Page]) -> pa.Array:
     flat = lambda name: [x for p in pages for x in getattr(p, name)]
-    attrs, ancestors = flat("attrs"), flat("ancestors")
+    attrs = flat("attrs")
+    places = [x for p in pages for x in p.places()]
     i32 = pa.int32()
     struct = pa.StructArray.from_arrays(
         [
             pa.array([i for p in pages for i in range(len(p.tag))], i32),
             pa.array(flat("end"), i32),
             pa.array(flat("parent"), i32),
-            pa.array([len(a) for a in ancestors], i32),
+            pa.array(flat("depth"), i32),
             pa.array(flat("tag"), pa.string()),
             pa.MapArray.from_arrays(
                 _offsets(attrs),
                 pa.array([k for a in attrs for k in a], pa.string()),
                 pa.array([v for a in attrs for v in a.values()], pa.string()),
             ),
-            pa.ListArray.from_arrays(_offsets(ancestors), pa.array([i for a in ancestors for i in a], i32)),
+            *[pa.array([p[k] for p in places], i32) for k in range(4)],
             pa.array(flat("text"), pa.string()),
         ],
         names=NODE.fieldNames(),

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import trim_ws
 from ..operators.sequence import read_positions
+from ..session import path_exists
 
 LINE = T.StructType([T.StructField("value", T.StringType())])
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when the path can be listed, on whatever file system it lives."""
-    try:
-        spark.read.format("binaryFile").load(path).schema  # noqa: B018  (resolves the path)
-        return True
-    except PySparkException:
-        return False
-
-
 def is_utf8(encoding: str) -> bool:
     return encoding.lower().replace("-", "").replace("_", "") in ("utf8", "utf8sig")
 
@@ -57,18 +48,21 @@ def read_string(spark: SparkSession, path: str, encoding: str = "GBK") -> DataFr
     return raw.select(F.decode("content", encoding).alias("value"))
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """SRC-03: CSV with a header (a byte-order mark is fine), every value a string."""
+def read_csv(spark: SparkSession, path: str, columns: list[str], *, multi_line: bool = True) -> DataFrame:
+    """SRC-03: CSV with a header (a byte-order mark is fine), every value a string.
+
+    Without ``multi_line``, for files whose values hold no line ends, Spark splits large files.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": True}
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": True}
     return spark.read.options(**options).schema(schema).csv(path).fillna("")
 
 
-def read_level_csv(spark: SparkSession, path: str, columns: list[str], empty: str = "00") -> DataFrame:
+def read_level_csv(spark: SparkSession, path: str, columns: list[str], empty: str = "00", *, multi_line: bool = True) -> DataFrame:
     """SRC-04: SRC-03 with trimmed values; only a truly empty value becomes ``00``."""
-    raw = read_csv(spark, path, columns)
+    raw = read_csv(spark, path, columns, multi_line=multi_line)
     return raw.select(*[F.when(F.col(c) == "", empty).otherwise(trim_ws(c)).alias(c) for c in columns])
 
 
@@ -101,14 +95,19 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """SRC-11: an earlier output as history; anything unreadable counts as no history."""
+    """An earlier output, or no rows where there is none yet. A path that is there and can't be read is an error."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """SRC-11: an earlier output as history; anything unreadable counts as no history."""
     try:
-        frame = spark.read.schema(schema).format(fmt).load(path)
+        frame = read_or_empty(spark, path, schema, fmt)
         frame.limit(1).collect()
         return frame
-    except Exception:  # noqa: BLE001  (any failure means that there is no history)
+    except Exception:  # noqa: BLE001  (here any failure means that there is no history)
         return spark.createDataFrame([], schema)
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import path_exists, remove, scratch
 from . import readers
 
 # Default CSV columns, default output names, and how many customer exports there are.
@@ -84,13 +84,19 @@ def write_as(df: DataFrame, fmt: str, path: str) -> None:
 
 
 def write_all(df: DataFrame, paths: dict[str, str]) -> None:
-    """SNK-11: every enabled sink from one computation; the first failure stops the rest."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    """SNK-11: every enabled sink from one computation; the first failure stops the rest.
+
+    The frame is written to the shared folder once, and removed from there in the end.
+    """
+    spark = df.sparkSession
+    once = scratch(spark, "sinks")
+    df.write.parquet(once)
     try:
+        rows = spark.read.schema(df.schema).parquet(once)
         for fmt, path in paths.items():
-            write_as(df, fmt, path)
+            write_as(rows, fmt, path)
     finally:
-        df.unpersist()
+        remove(spark, once)
 
 
 def snapshot(df: DataFrame, root: str, name: str, *, at: datetime) -> str:
@@ -104,7 +110,7 @@ def snapshot(df: DataFrame, root: str, name: str, *, at: datetime) -> str:
 
 def snapshot_path(spark: SparkSession, path: str, root: str, *, at: datetime, fmt: str = "parquet") -> str:
     """SNK-12 for a path: missing source -> ``''``."""
-    if not readers.path_exists(spark, path):
+    if not path_exists(spark, path):
         return ""
     return snapshot(spark.read.format(fmt).load(path), root, path.rstrip("/").rsplit("/", 1)[-1], at=at)
 

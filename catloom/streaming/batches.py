@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import keep_first, unseen_in_history
 from ..operators.store import ContentStore
-from ..session import written
+from ..session import remove, scratch
 from ..sources.readers import read_or_empty
 from ..sources.writers import write_all
 
@@ -46,9 +46,12 @@ def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str]
     schema = stream.schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        first = written(keep_first(batch, keys, order), "feed")
-        history = read_or_empty(batch.sparkSession, target, schema)
+        spark, path = batch.sparkSession, scratch(batch.sparkSession, "feed")
+        keep_first(batch, keys, order).write.parquet(path)
+        first = spark.read.parquet(path)
+        history = read_or_empty(spark, target, schema)
         unseen_in_history(first, history, keys).select(*batch.columns).write.mode("append").parquet(target)
+        remove(spark, path)
 
     return run(stream, each, checkpoint)
 
@@ -68,21 +71,33 @@ def gate_feed(
     schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField("expires_at", T.LongType()), T.StructField("batch", T.LongType())])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = clock(batch_id)
-        first = written(keep_first(batch, keys, order), "gate")
-        seen = read_or_empty(batch.sparkSession, log, schema)
+        now, spark, path = clock(batch_id), batch.sparkSession, scratch(batch.sparkSession, "gate")
+        keep_first(batch, keys, order).write.parquet(path)
+        first = spark.read.parquet(path)
+        seen = read_or_empty(spark, log, schema)
         live = seen.filter((F.col("expires_at") > now) & (F.col("batch") != batch_id))
         passed = unseen_in_history(first, live, keys).select(*batch.columns)
         passed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         sightings = first.select(*keys, F.lit(now + ttl_seconds).cast("bigint").alias("expires_at"))
         sightings.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        remove(spark, path)
 
     return run(stream, each, checkpoint)
 
 
 def fan_out(stream: DataFrame, paths: dict[str, str], checkpoint: str) -> StreamingQuery:
-    """SNK-11 / STR-06 on a stream: every batch to every enabled sink."""
-    return run(stream, lambda batch, _: write_all(batch, paths), checkpoint)
+    """SNK-11 / STR-06 on a stream: every batch to every enabled sink, in a folder of its own.
+
+    A batch that runs again, after a sink failed, replaces what it wrote.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        own = {fmt: f"{path.rstrip('/')}/batch={batch_id}" for fmt, path in paths.items()}
+        for path in own.values():
+            remove(batch.sparkSession, path)
+        write_all(batch, own)
+
+    return run(stream, each, checkpoint)
 
 
 def store_feed(

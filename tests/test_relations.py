@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catloom.operators import caps, category, dedup, progress, sequence
-from catloom.operators.skew import hot_keys, lookup_join, top_n_per_group
+from catloom.operators.skew import lookup_join, top_n_per_group
 
 
 @pytest.fixture(scope="module")
@@ -26,15 +26,16 @@ def frame(spark, skewed):
 def test_lookup_join(spark, skewed, frame):
     right = {k: len(k) for k in {k for _, k, _ in skewed} if not k.endswith("7")}
     table = spark.createDataFrame(list(right.items()), "k string, w int")
-    hot = hot_keys(frame, ["k"])
-    assert len(hot) == 1
+    top = frame.groupBy("k").count().orderBy(F.desc("count")).first()["k"]
+    hot = [frame.filter(F.col("k") == top).select(F.xxhash64("k")).first()[0]]
     for how in ("inner", "left", "left_semi", "left_anti"):
-        joined = lookup_join(frame, table, ["k"], how, spread=["i"], salts=7)
+        joined = lookup_join(frame, table, ["k"], how, spread=["i"], salts=7, hot=hot)
         got = sorted(r.i for r in joined.collect())
         keep = {"inner": True, "left": None, "left_semi": True, "left_anti": False}[how]
         assert got == sorted(i for i, k, _ in skewed if keep is None or (k in right) == keep)
         assert "_salt" not in joined.columns
-    plan = lookup_join(frame, table, ["k"], "left", spread=["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert lookup_join(frame, table, ["k"]).count() == frame.count()
+    plan = lookup_join(frame, table, ["k"], "left", spread=["i"], hot=hot)._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and "Cartesian" not in plan
 
 
@@ -90,11 +91,16 @@ def test_caps_and_stops(spark):
         for _, at, page, new in pages:
             if at == link:
                 fresh[page] += new
-        ends = [p for p in fresh if all(q in fresh and fresh[q] == 0 for q in (p - 1, p))]
+        read = sorted(fresh)
+        ends = [p for q, p in zip(read, read[1:]) if fresh[q] == 0 and fresh[p] == 0]
         if ends:
             stops[link] = min(ends)
     got = caps.stop_pages(frame, link="link", page_no="page", fresh="fresh", streak=2)
     assert {r.link: r.stop_page for r in got.collect()} == stops and stops
+    listed = spark.createDataFrame([("e", p) for p in (1, 2, 5, 9, 10)], "link string, page int")
+    few = spark.createDataFrame([("e", 1, True), ("e", 9, True)], "link string, page int, fresh boolean")
+    gaps = caps.stop_pages(few, link="link", page_no="page", fresh="fresh", streak=2, pages=listed)
+    assert [(r.link, r.stop_page) for r in gaps.collect()] == [("e", 5)]
     kept = caps.until_stop(frame, got, link="link", page_no="page", spread=["i"])
     assert {r.i for r in kept.collect()} == {i for i, link, page, _ in pages if page <= stops.get(link, 10**9)}
 
@@ -111,6 +117,8 @@ def test_backfill(spark):
     assert ids == {"u0": [1], "u1": [1, 2], "u2": [1, 2, 3]}
     urls = {r.url: r.cate_links_path for r in category.backfill_links(links).collect()}
     assert urls == {"u0": ["u0"], "u1": ["u0", "u1"], "u2": ["u0", "u1", "u2"]}
+    shared = spark.createDataFrame([("u0", ["A"]), ("same", ["A", "B"]), ("same", ["A", "C"])], "url string, cate_names_path array<string>")
+    assert [r.cate_links_path for r in category.backfill_links(shared).orderBy("cate_names_path").collect()] == [["u0"], ["u0", "same"], ["u0", "same"]]
     orphan = links.filter("url <> 'u1'")
     with pytest.raises(Exception, match="no link"):
         category.backfill_links(orphan).collect()
@@ -139,7 +147,9 @@ def test_tree(spark):
     edges = [("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", "y"), ("y", "x"), ("o", "gone")]
     edges += [(f"n{i}", "a") for i in range(200)]
     frame = spark.createDataFrame([(k, p, k.upper()) for k, p in edges], "key string, parent string, name string")
-    got = {r.key: (r.level, r.path) for r in category.walk_tree(frame, key="key", parent="parent", name="name").collect()}
+    placed, rejected = category.walk_tree(frame, key="key", parent="parent", name="name")
+    assert {r.key for r in rejected.collect()} == {"e", "x", "y", "o"}
+    got = {r.key: (r.level, r.path) for r in placed.collect()}
     assert got["d"] == (4, ["R", "A", "B", "C", "D"]) and got["n7"] == (2, ["R", "A", "N7"])
     assert not {"e", "x", "y", "o"} & set(got) and len(got) == 205
 

@@ -43,6 +43,12 @@ def test_missing_sources(spark):
     assert readers.read_lines(spark, gone).count() == 0 and readers.read_string(spark, gone).count() == 0
     assert readers.read_csv(spark, gone, ["a"]).count() == 0 and readers.read_json_lines(spark, gone, DOC).count() == 0
     assert readers.read_or_empty(spark, gone, DOC).columns == ["_id", "v"]
+    broken = scratch(spark, "broken")
+    docs(spark, []).limit(0).write.json(broken)
+    spark.range(1).select(F.lit("no parquet").alias("v")).write.mode("overwrite").text(broken)
+    with pytest.raises(Exception):
+        readers.read_or_empty(spark, broken, DOC).collect()
+    assert readers.read_history(spark, broken, DOC).count() == 0
     assert writers.snapshot_path(spark, gone, scratch(spark, "s"), at=datetime(2024, 1, 1)) == ""
     with pytest.raises(ValueError):
         writers.write_as(docs(spark, []), "excel", gone)

@@ -120,6 +120,9 @@ def test_regex_key(spark):
     assert run(spark, [" ID=12 ", "x"], lambda c: text.extract_regex_key(c, r" id=(\d+) ")) == ["12", ""]
     assert run(spark, ["id=１２"], lambda c: text.extract_regex_key(c, r"id=(\d+)")) == ["１２"]
     assert run(spark, ["x"], lambda c: text.extract_regex_key(c, "(")) == [""]
+    # A group that took no part gives way to the whole match; one that matched nothing doesn't.
+    assert run(spark, ["a", "b", "c"], lambda c: text.extract_regex_key(c, "(a)|b")) == ["a", "b", ""]
+    assert run(spark, ["b", "xb"], lambda c: text.extract_regex_key(c, "(x?)b")) == ["", "x"]
 
 
 def test_conversions(spark):
