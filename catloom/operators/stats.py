@@ -62,6 +62,12 @@ def with_class(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("text_class", text_class(column))
 
 
+def batch_counts(df: DataFrame, valid: Column) -> DataFrame:
+    """AGG-09: one row with the total, valid and invalid counts; a NULL condition is invalid."""
+    ok = F.coalesce(valid, F.lit(False))
+    return df.agg(F.count("*").alias("rows"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
 def observed(df: DataFrame, valid: Column, name: str = "batch") -> tuple[DataFrame, Observation]:
     """AGG-09: valid, invalid and total counts, taken while the frame passes by."""
     watch = Observation(name)

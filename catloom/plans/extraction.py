@@ -356,11 +356,11 @@ def _page_hrefs(spark: SparkSession, sf: str) -> DataFrame:
 
 _BUILT_SQL = f"""{TEXT_SQL}, {CAPTION_STEPS},
     urls as (select id, caption, lower('https://Shop.example.com/List?Cat=' || abs(id)) as u from captions),
-    gated as (select * from urls where abs(id) between 10 and 1500),
+    gated as (select * from urls where abs(id) between 10 and 1000000000000),
     built as (select id, caption, 'https://m.example.com/' || regexp_extract(u, 'cat=([0-9]+)', 1) || '?s=1' as url from gated)"""
 _RULES = LinkRules(
     regex=r"https://shop\.example\.com/list\?cat=\d+", lower_case=True, rewrite=True, rewrite_regex="CAT=([0-9]+)",
-    rewrite_head="https://m.example.com/", add_suffix=True, suffix="?s=1 ", start_gate=True, low=10, high=1500,
+    rewrite_head="https://m.example.com/", add_suffix=True, suffix="?s=1 ", start_gate=True, low=10, high=10**12,
 )
 
 

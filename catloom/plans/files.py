@@ -12,7 +12,7 @@ from ..operators import sequence
 from ..operators.store import ContentStore, apply_one, new_store, one_target
 from ..session import scratch, written
 from ..sources import readers, writers
-from .catalog import lit, query, table
+from .catalog import query, table
 from .extraction import level_frame
 from .views import CAPTION_SQL, PATH_SQL, captions, ws_trim
 
@@ -31,18 +31,17 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_lines(spark, path, "utf-8").groupBy("value").agg(F.count("*").alias("n"))
 
 
-_GBK_SAFE = r"[^\x20-\x7e\x{4e00}-\x{9fa5}]"
 
 
 @query(
     "src_01_gbk_lines",
-    f"with {_FLAT_SQL}, safe as (select regexp_replace(value, {lit(_GBK_SAFE)}, '', 'g') as value from lines) select value, count(*) as n from safe where value <> '' group by 1",
+    f"with {_FLAT_SQL} select value, count(*) as n from lines group by 1",
 )
 def _gbk(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts in GB18030, which extends GBK to all characters, so none is lost."""
     path = scratch(spark, "gbk")
-    safe = flat_lines(spark, sf).select(F.regexp_replace("value", _GBK_SAFE, "").alias("value")).filter("value <> ''")
-    writers.write_lines(safe, path, encoding="GBK")
-    return readers.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+    writers.write_lines(flat_lines(spark, sf).select("value"), path, encoding="GB18030")
+    return readers.read_lines(spark, path, "GB18030").groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -182,6 +181,12 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.md5("text").alias("_id"), "doc_id", "lang")
 
 
+def _whole_store(spark: SparkSession, sf: str) -> ContentStore:
+    store = new_store(spark, _DOC, length=1)
+    store.insert_new(_documents(spark, sf), ["doc_id"])
+    return store
+
+
 def _half_store(spark: SparkSession, sf: str) -> ContentStore:
     store = new_store(spark, _DOC, length=1)
     store.insert_new(_documents(spark, sf).filter("doc_id % 2 = 0"), ["doc_id"])
@@ -191,16 +196,15 @@ def _half_store(spark: SparkSession, sf: str) -> ContentStore:
 _FIRST = "select md5(text) as _id, min(doc_id) as doc_id, arg_min(lang, doc_id) as lang from documents where {} group by 1"
 
 
-@query("src_13_full_scan", f"select 'CONTENT-' || upper(right(_id, 1)) as bucket, _id, doc_id, lang from ({_FIRST.format('doc_id % 2 = 0')}) s")
+@query("src_13_full_scan", f"select 'CONTENT-' || upper(right(_id, 1)) as bucket, _id, doc_id, lang from ({_FIRST.format('true')}) s")
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
-    return _half_store(spark, sf).read().select("bucket", "_id", "doc_id", "lang")
+    return _whole_store(spark, sf).read().select("bucket", "_id", "doc_id", "lang")
 
 
-@query("src_14_find_one", f"select _id, doc_id from ({_FIRST.format('doc_id % 2 = 0')}) s where doc_id = (select min(doc_id) from documents where doc_id % 2 = 0)")
+@query("src_14_find_one", f"select _id, doc_id from ({_FIRST.format('true')}) s where doc_id = (select min(doc_id) from documents)")
 def _find_one(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf).filter("doc_id % 2 = 0")
-    wanted = docs.agg(F.min(F.struct("doc_id", "_id")).alias("m")).first()["m"]
-    store = _half_store(spark, sf)
+    wanted = _documents(spark, sf).agg(F.min(F.struct("doc_id", "_id")).alias("m")).first()["m"]
+    store = _whole_store(spark, sf)
     bucket = f"CONTENT-{wanted['_id'][-1:].upper()}"
     return store.find_one((F.col("bucket") == bucket) & (F.col("_id") == wanted["_id"])).select("_id", "doc_id")
 
@@ -297,11 +301,11 @@ def _update_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "snk_08_store_rewrite",
-    f"""with s as ({_FIRST.format('doc_id % 2 = 0')}), t as (select min(_id) filter (lang = 'en') as upd, min(_id) filter (lang = 'fr') as del from s)
+    f"""with s as ({_FIRST.format('true')}), t as (select min(_id) filter (lang = 'en') as upd, min(_id) filter (lang = 'fr') as del from s)
     select _id, doc_id, case when _id = upd then 'xx' else lang end as lang from s, t where _id <> del""",
 )
 def _rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    store = _half_store(spark, sf)
+    store = _whole_store(spark, sf)
     store.update_one(F.col("lang") == "en", {"lang": F.lit("xx")})
     store.delete_one(F.col("lang") == "fr")
     return store.read().select("_id", "doc_id", "lang")
@@ -309,11 +313,12 @@ def _rewrite(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "str_08_update_existing",
-    "select md5(text) as _id, arg_min(doc_id, case when doc_id % 3 = 0 then doc_id else 1000000000 + doc_id end) as doc_id from documents where doc_id % 2 = 0 or doc_id % 3 = 0 group by 1",
+    "select md5(text) as _id, arg_min(doc_id, case when doc_id % 2 = 1 or doc_id % 3 = 0 then doc_id else 1000000000000 + doc_id end) as doc_id from documents group by 1",
 )
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
     store = _half_store(spark, sf)
-    store.upsert(_documents(spark, sf).filter("doc_id % 3 = 0"), ["doc_id"])
+    # Odd documents are new, every sixth replaces what is stored.
+    store.upsert(_documents(spark, sf).filter("doc_id % 2 = 1 or doc_id % 3 = 0"), ["doc_id"])
     return store.read().select("_id", "doc_id")
 
 

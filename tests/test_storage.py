@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catloom.operators import dedup
 from catloom.operators.store import new_store
 from catloom.session import scratch
 from catloom.sources import readers, writers
@@ -123,3 +124,23 @@ def test_gate_forgets_and_repeats(spark):
         # Batch n counts at second 10 n; "a" is seen every time, "b" expires before it comes again.
         batches.gate_feed(stream, target, log, ["_id"], ["v"], checkpoint, clock=lambda n: 10 * n, ttl_seconds=15).awaitTermination(120)
     assert sorted((r["_id"], r.v, r.batch) for r in spark.read.parquet(target).collect()) == [("a", 1, 0), ("b", 3, 0), ("b", 6, 2)]
+
+
+def test_fan_out_repeats(spark):
+    """A batch that runs again, here with a fresh checkpoint, replaces what it wrote to every sink."""
+    folder, root = scratch(spark, "in"), scratch(spark, "fan")
+    docs(spark, [("a", 1), ("b", 2)]).write.parquet(folder)
+    paths = {f: f"{root}/{f}" for f in ("jsonl", "parquet")}
+    for _ in range(2):
+        batches.fan_out(batches.file_stream(spark, folder, DOC), paths, scratch(spark, "cp")).awaitTermination(120)
+    assert spark.read.schema(DOC).json(paths["jsonl"]).count() == spark.read.parquet(paths["parquet"]).count() == 2
+
+
+def test_batches_read_their_buckets_only(spark):
+    store = new_store(spark, DOC, length=1)
+    store.insert(docs(spark, [(c * 4, i) for i, c in enumerate("0123456789abcdef")]))
+    asked = docs(spark, [("aaaa", 0), ("b000", 0)])
+    found = dedup.get_documents(store.read(), asked, length=1)
+    assert [r["_id"] for r in found.collect()] == ["aaaa"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "CONTENT-A" in plan
