@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship_with_tasks, written
 from .common import BYTE_CODES_LOWER, NOT_SPACE, mixed, powers, query, row_blocks, table, text_bytes, words
@@ -25,7 +24,7 @@ MISS = 1e-7  # posterior chance of a link below which a pair is dropped
 # Ids of documents to be confirmed are broadcast up to this many; beyond it the join shuffles.
 MOST_IDS = 1_000_000
 _SIZE = BANDS * ROWS
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 512 << 10
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, _SIZE, np.uint32)
 _MULTIPLY = _rng.integers(0, 2**32, _SIZE, np.uint32) | np.uint32(1)
@@ -68,29 +67,55 @@ def signatures(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signer(width: int):
-    kind = pa.struct([("n", pa.int64()), ("same", pa.binary()), ("signature", pa.binary())])
+def _binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """A binary column from its bytes back to back."""
+    borders = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(borders), pa.py_buffer(data)])
+
+
+def _digests(values: np.ndarray, borders: np.ndarray) -> bytes:
+    """A digest of 16 bytes for each set."""
+    return b"".join(hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(borders, borders[1:], strict=False))
+
 
+def _signer(width: int):
     @F.arrow_udf("struct<n:bigint,same:binary,signature:binary>")
     def sign(text: pa.Array) -> pa.Array:
-        sizes, same, signed = [], [], []
+        sizes, same, signed = [np.zeros(0, np.int64)], [], []
         for _, values, borders in shingle_sets(text, width):
-            marks = signatures(values, borders)
-            sizes += np.diff(borders).tolist()
-            same += [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(borders, borders[1:], strict=False)]
-            signed += [m.tobytes() for m in marks]
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(signed, pa.binary())], fields=list(kind))
+            sizes.append(np.diff(borders))
+            same.append(_digests(values, borders))
+            signed.append(signatures(values, borders).tobytes())
+        n = np.concatenate(sizes)
+        columns = [pa.array(n), _binaries(b"".join(same), np.full(len(n), 16)), _binaries(b"".join(signed), np.full(len(n), 2 * _SIZE))]
+        return pa.StructArray.from_arrays(columns, names=["n", "same", "signature"])
 
     return sign.asNondeterministic()
 
 
+def _shingles(width: int):
+    @F.arrow_udf("array<bigint>")
+    def make(text: pa.Array) -> pa.Array:
+        sizes, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for _, values, borders in shingle_sets(text, width):
+            sizes.append(np.diff(borders))
+            sets.append(values)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+
+    return make.asNondeterministic()
+
+
 def _set_maker(width: int):
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<same:binary,set:binary>")
     def make(text: pa.Array) -> pa.Array:
-        out = []
+        sizes, same, sets = [np.zeros(0, np.int64)], [], []
         for _, values, borders in shingle_sets(text, width):
-            out += [values[x:y].tobytes() for x, y in zip(borders, borders[1:], strict=False)]
-        return pa.array(out, pa.binary())
+            sizes.append(np.diff(borders))
+            same.append(_digests(values, borders))
+            sets.append(values.tobytes())
+        n = np.concatenate(sizes)
+        return pa.StructArray.from_arrays([_binaries(b"".join(same), np.full(len(n), 16)), _binaries(b"".join(sets), 8 * n)], names=["same", "set"])
 
     return make.asNondeterministic()
 
@@ -117,7 +142,7 @@ def _pruner(similar: int, miss: float):
 
     @F.arrow_udf("boolean")
     def goes_on(one: pa.Array, other: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, _SIZE) for x in (one, other))
+        a, b = (np.frombuffer(x.buffers()[2], np.uint16)[x.offset * _SIZE :][: len(x) * _SIZE].reshape(-1, _SIZE) for x in (one, other))
         alive, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
         for n, least in steps:
             equal[alive] += (a[alive, done:n] == b[alive, done:n]).sum(1)
@@ -133,8 +158,8 @@ def _confirmer(similar: int):
     @F.arrow_udf("boolean")
     def linked(one: pa.Array, other: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(one.to_pylist(), other.to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(one, other, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             small, large = (x, y) if len(x) < len(y) else (y, x)
             at = np.searchsorted(large, small)
             both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
@@ -181,10 +206,37 @@ class NearDuplicates:
         second = rest.groupBy("bucket").agg(F.min("id").alias("a"), F.min_by("root", "id").alias("of"))
         more = self._confirmed(rest.join(second, "bucket").filter("root <> of").select("a", F.col("id").alias("b")))
         found = written(found.unionByName(more), "links")
-        left = self._rooted(rest.drop("root"), components(found))
-        other = left.select("bucket", F.col("id").alias("b"), F.col("root").alias("other"))
-        pairs = left.join(other, "bucket").filter("root < other").select(F.col("id").alias("a"), "b")
-        return written(found.unionByName(self._confirmed(pairs)), "links")
+        left = written(self._rooted(rest.drop("root"), components(found)), "left")
+        return written(found.unionByName(self._confirmed(self._across(left))), "links")
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of different components that share a bucket and can still be links, of rows ``(bucket, id, root)``.
+
+        If shingles are put in one order, rarest first, sets that are similar enough share one of the first
+        ``n - similar * n + 1`` shingles of either. Copies with too many words of their own have nothing in common there,
+        so a family of them makes no pairs. The largest component of a bucket is only compared with the others.
+        """
+        sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+        mixed_rows = written(rows.join(main, "bucket").select("bucket", "id", "root", "main"), "mixed")
+        own = mixed_rows.join(written(self._rarest(mixed_rows.select("id").distinct()), "rarest"), "id")
+        few = own.filter("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("rare").alias("rare_a"))
+        # Between two of the others one order is enough.
+        once = (F.col("root") == F.col("main")) | (F.col("root") > F.col("root_a"))
+        pairs = few.join(own, "bucket").filter((F.col("root") != F.col("root_a")) & once & F.arrays_overlap("rare_a", "rare"))
+        return pairs.select("a", F.col("id").alias("b"))
+
+    def _rarest(self, ids: DataFrame) -> DataFrame:
+        """``(id, rare)``: of each set the shingles of which a similar set must have one, without those that no other has."""
+        ids = written(ids, "ids")
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id")
+        # Rows that repeat an id have lists of their own.
+        shingles = texts.select("id", F.xxhash64("text").alias("t"), F.explode(_shingles(self.width)("text")).alias("s")).distinct()
+        counted = shingles.join(shingles.groupBy("s").agg(F.count("*").alias("df")), "s")
+        lists = counted.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+        n = F.size("all")
+        first = F.slice("all", F.lit(1), n - F.ceil(n * self.similar / 100).cast("int") + 1)
+        return lists.select("id", F.transform(F.filter(first, lambda x: x["df"] > 1), lambda x: x["s"]).alias("rare"))
 
     @staticmethod
     def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -205,7 +257,7 @@ class NearDuplicates:
     def _exact(self, survivors: DataFrame) -> DataFrame:
         ids = written(survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id")
-        sets = texts.select(_set_maker(self.width)("text").alias("set")).select(_digest("set").alias("same"), "set").dropDuplicates(["same"])
+        sets = texts.select(_set_maker(self.width)("text").alias("s")).select("s.*").dropDuplicates(["same"])
         one, two = (sets.select(F.col("same").alias(f"same_{k}"), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
         linked = survivors.join(one, "same_a").join(two, "same_b").filter(_confirmer(self.similar)("set_a", "set_b"))
         return linked.select("a", "b").distinct()
@@ -219,11 +271,6 @@ class NearDuplicates:
         return self._rooted(rows, roots).withColumnRenamed("root", "component_id")
 
 
-@F.arrow_udf(T.BinaryType())
-def _digest(column: pa.Array) -> pa.Array:
-    return pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in column.to_pylist()], pa.binary())
-
-
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 5, similar: int = SIMILAR) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id, columns as in ``docs``.
 
