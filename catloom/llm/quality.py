@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ BUCKETS = 18  # bits
 GRAMS = (3, 4)
 DIMENSIONS = 16
 # Bounds of the training sample.
-TRAIN_ROWS = 5000
-TRAIN_BYTES = 48 << 20
+TRAIN_ROWS = 4000
+TRAIN_BYTES = 24 << 20
 EPOCHS = 6
 RATE = 0.5
 KEEP_FROM = 0.3
@@ -60,9 +61,9 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     data, borders = text_bytes(pa.array([text]))
     found = [b for b, _ in features(data, borders)] if len(data) else []
     if not sum(map(len, found)):
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     buckets, counts = np.unique(np.concatenate(found), return_counts=True)
-    return buckets, (counts / counts.sum()).astype(np.float32)
+    return buckets.astype(np.int32), (counts / counts.sum()).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], share: float, *, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -80,11 +81,18 @@ def fit(texts: list[str], labels: list[int], share: float, *, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKETS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    bags = [bag(t) for t in texts]
-    steps, step = EPOCHS * len(bags), 0
+    # Two long arrays rather than many small ones, so the driver gives all of it back.
+    ends, all_buckets, all_parts = [0], array("i"), array("f")
+    for text in texts:
+        buckets, part = bag(text)
+        all_buckets.frombytes(buckets.tobytes())
+        all_parts.frombytes(part.tobytes())
+        ends.append(len(all_buckets))
+    all_buckets, all_parts = np.frombuffer(all_buckets, np.int32), np.frombuffer(all_parts, np.float32)
+    steps, step = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(bags)).tolist():
-            buckets, part = bags[i]
+        for i in rng.permutation(len(texts)).tolist():
+            buckets, part = all_buckets[ends[i] : ends[i + 1]], all_parts[ends[i] : ends[i + 1]]
             rate = RATE * (1 - step / steps)
             step += 1
             hidden = part @ vectors[buckets]
