@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ from .common import query, table
 ship_with_tasks(__name__)
 
 DEGREE = 40  # neighbours of a node, and reverse neighbours that join in
-ROUNDS = 4  # of joining neighbours of neighbours
+# Rounds of joining neighbours of neighbours end when no larger share of the graph's edges is new.
+SETTLED = 0.005
+# The beam of the search doubles until so much is found of what an exact scan finds for a sample of the queries.
 BEAM = 128
-HOPS = 3
+RECALL = 0.95
+SAMPLE = 128
 # The first graph: nearest nodes in blocks of nodes that lie next to each other along random directions.
 DIRECTIONS = 4
 BLOCK = 4096
@@ -144,16 +148,33 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
+def _exact_scores(nodes: np.ndarray, vectors: np.ndarray, k: int):
+    """The ``k`` highest scores of each of a few nodes among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(nodes), k), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                s = np.where(nodes[:, None] == batch.column("node").to_numpy(), -np.inf, vectors @ x.T)
+                best = -np.partition(-np.concatenate([best, s], axis=1), k - 1, axis=1)[:, :k]
+        at, _ = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(best[best > -np.inf])], names=["node", "s"])
+
+    return run
+
+
 class NeighbourGraph:
     """A graph over the different vectors of a table, built by NN-descent for the inner product.
 
     Equal vectors are one node. Nodes start with their nearest in a few blocks along random directions. In every
     round each node brings its neighbours and those it is a neighbour of together, and pairs of them that are
-    better than what either has replace its worst: joins of neighbours of neighbours. Vectors travel at one
+    better than what either has replace its worst: joins of neighbours of neighbours, until a round changes next to
+    nothing (or ``rounds`` times, if given). Vectors travel at one
     byte a component; scores of the result are exact. Rows whose vector cannot be used, or differs in length from most, take no part.
     """
 
-    def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS):
+    def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, rounds: int | None = None):
         self.degree = degree
         fine = rows.select(F.col(key).alias("id"), F.col(vector).alias("vector")).filter(usable(F.col("vector")))
         length = fine.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -167,14 +188,18 @@ class NeighbourGraph:
             along = codes.withColumn("_p", _projector(t)("code")).repartitionByRange(blocks, "_p").sortWithinPartitions("_p").drop("_p")
             found = along.mapInArrow(_block_neighbours(degree, BLOCK), "a bigint, b bigint, s float")
             start = found if start is None else start.unionByName(found)
-        self.edges = written(self._merged(start), "graph")
-        for _ in range(rounds):
+        self.edges = written(self._merged(start.withColumn("new", F.lit(True))), "graph")
+        for _ in count() if rounds is None else range(rounds):
             around = self.around().filter(F.size("around") > 1)
             found = around.select(F.explode(_join_neighbours.asNondeterministic()("around")).alias("e")).select("e.*")
-            self.edges = written(self._merged(self.edges.unionByName(found)), "graph")
+            self.edges = written(self._merged(self.edges.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))), "graph")
+            seen = self.edges.agg(F.count("*").alias("all"), F.count_if("new").alias("new")).first()
+            if seen["new"] <= SETTLED * seen["all"]:
+                break
+        self._opened = None
 
     def _merged(self, edges: DataFrame) -> DataFrame:
-        once = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+        once = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
         return _best(once, "a", [F.desc("s"), F.col("b")], self.degree).drop("rank")
 
     def around(self) -> DataFrame:
@@ -187,16 +212,18 @@ class NeighbourGraph:
         # At most twice the degree for each node.
         return both.join(state, "id").groupBy("node").agg(F.collect_list(F.struct("id", "least", "code")).alias("around"))
 
-    def search(self, queries: DataFrame, *, k: int, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+    def search(self, queries: DataFrame, *, k: int, beam: int = BEAM, hops: int | None = None) -> DataFrame:
         """``(node, near, score)``: for each node of ``queries (node)`` the best nodes that a greedy search finds, itself among them.
 
         The search starts from the node's own neighbours and opens the best nodes of its beam that it hasn't opened
-        yet, until none is left or ``hops`` times.
+        yet, until none is left, or ``hops`` times if given.
         """
-        around = written(self.around(), "around")
+        if self._opened is None:
+            self._opened = written(self.around(), "around")
+        around = self._opened
         own = queries.join(self.nodes.select("node", F.col("code").alias("own")), "node")
         found = queries.join(self.edges.withColumnRenamed("a", "node"), "node").select("node", F.col("b").alias("n"), "s", F.lit(False).alias("opened"))
-        for _ in range(hops):
+        for _ in count() if hops is None else range(hops):
             ranked = written(_best(found, "node", [F.desc("s"), F.col("n")], beam), "beam")
             last = ranked.groupBy("node").agg(F.min("s").alias("worst"), F.count("*").alias("m"))
             floor = last.select("node", F.when(F.col("m") >= beam, F.col("worst")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"))
@@ -214,14 +241,36 @@ class NeighbourGraph:
         two = self.nodes.select(F.col("node").alias("near"), F.col("vector").alias("y"))
         return pairs.join(one, "node").join(two, "near").select("node", "near", inner_product("x", "y").alias("score"))
 
+    def wide_enough(self, queries: DataFrame, *, k: int, recall: float = RECALL) -> int:
+        """The beam with which the search finds ``recall`` of the ``k`` nearest of a sample of ``queries (node)``.
+
+        The sample, of fixed size, is compared with every node. At most the beam holds all nodes.
+        """
+        sample = queries.join(self.nodes, "node").select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+        if not sample:
+            return BEAM
+        nodes, vectors = np.array([r["node"] for r in sample], np.int64), np.array([r["vector"] for r in sample], np.float64)
+        scores = self.nodes.select("node", "vector").mapInArrow(_exact_scores(nodes, vectors, k), "node bigint, s double")
+        least = written(_best(scores, "node", [F.desc("s")], k).groupBy("node").agg(F.min("s").alias("least"), F.count("*").alias("m")), "exact")
+        due, all_nodes = least.agg(F.sum("m")).first()[0] or 0, self.nodes.count()
+        picked, beam = queries.filter(F.col("node").isin(nodes.tolist())), max(BEAM, 2 * k)
+        while beam < all_nodes:
+            near = self.search(picked, k=k, beam=beam).filter("node <> near").join(least, "node")
+            hits = near.filter("score >= least - 1e-9 * abs(least)").groupBy("node", "m").count()
+            if (hits.agg(F.sum(F.least("count", "m"))).first()[0] or 0) >= recall * due:
+                break
+            beam *= 2
+        return beam
+
     def nearest(self, chosen: Column, *, k: int) -> DataFrame:
         """For each row that ``chosen`` (of ``id``) takes, its ``k`` nearest other rows: ``query_id, rank, vec_id, score``.
 
-        Ties go to the smaller id. With fewer candidates all that are found come. Rows that repeat an id are one
+        The search is as wide as ``wide_enough`` finds necessary. Ties go to the smaller id. With fewer candidates all that are found come. Rows that repeat an id are one
         candidate each.
         """
         queries = self.rows.filter(chosen).select(F.col("id").alias("query_id"), "node")
-        near = written(self.search(queries.select("node").distinct(), k=k), "near")
+        different = queries.select("node").distinct()
+        near = written(self.search(different, k=k, beam=self.wide_enough(different, k=k)), "near")
         # Of equal vectors only the k + 1 smallest ids can be among the k nearest.
         members = _best(self.rows.select("node", "id"), "node", [F.col("id")], k + 1)
         rows = near.join(members.select(F.col("node").alias("near"), "id"), "near")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from catloom.llm import queries
+from catloom.llm import neighbours, queries
 from catloom.llm.components import components
 from catloom.llm.decontamination import contamination, decontaminate, hit_words
 from catloom.llm.main_text import extract_main_text, is_main, labelled_rows, main_text, train_tree
@@ -377,6 +377,19 @@ def test_nearest_against_brute_force(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_nearest_with_a_thin_graph(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 200)
+    monkeypatch.setattr(neighbours, "DIRECTIONS", 2)
+    x = np.random.default_rng(4).normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in NeighbourGraph(frame, degree=4).nearest(F.col("id") % 100 == 0, k=10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found.get(i, set()) & set(np.argsort(-np.where(np.arange(3000) == i, -9, x @ x[i]))[:10].tolist())) for i in range(0, 3000, 100))
+    assert hits >= 0.9 * 300
+
+
 def test_nearest_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [2.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
