@@ -18,6 +18,7 @@ import corpus_pipeline
 from catloom.llm import neighbours, queries
 from catloom.llm.components import components
 from catloom.llm.decontamination import contamination, decontaminate, hit_words
+from catloom.llm.labelled import labelled_sample
 from catloom.llm.main_text import extract_main_text, is_main, labelled_rows, main_text, train_tree
 from catloom.llm.mixing import mix, mix_plan, source_targets
 from catloom.llm.near_dedup import NearDuplicates, least_matches, one_of_each
@@ -184,6 +185,14 @@ def test_classifiers_on_odd_tables(spark, model, score):
     assert score(rows.limit(0), model.train(rows.limit(0), given)).count() == 0
 
 
+def test_long_texts_leave_room_for_others(spark):
+    rows = [(i, "x" * 500 if i % 7 == 0 else f"text {i}", i % 2) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    sample, _ = labelled_sample(frame.drop("toxic"), frame.drop("text"), "toxic", rows=60, text_bytes=1200)
+    assert sum(len(r["text"]) for r in sample) <= 1200
+    assert [sum(r["label"] == k for r in sample) for k in (0, 1)] == [30, 30]
+
+
 def test_keep_good_keeps_columns(spark):
     rows = spark.read.parquet(f"{SF2}/documents.parquet")
     model = QualityModel.train(rows, spark.read.parquet(f"{SF2}/labels.parquet"))
