@@ -21,6 +21,9 @@ ship_with_tasks(__name__)
 TRAIN_ROWS = 4000
 TRAIN_BYTES = 12 << 20
 WINDOW_WORDS = 12
+# Longer windows are cut, since the compressor drops its dictionary for long input; pieces overlap by the longest segment.
+WINDOW_BYTES = 512
+SEGMENT_BYTES = 24
 ORDINARY_BYTES = 32 << 10
 GRAM_SIZES = (5, 6, 8)
 LEVEL = 6
@@ -41,9 +44,24 @@ def folded(text: str) -> np.ndarray:
 
 
 def windows(text: bytes, size: int = WINDOW_WORDS) -> list[bytes]:
-    """Consecutive runs of ``size`` words of a folded text."""
+    """Consecutive runs of ``size`` words of a folded text, in pieces of at most ``WINDOW_BYTES`` bytes."""
     split = text.split()
-    return [b" " + b" ".join(split[i : i + size]) + b" " for i in range(0, len(split), size)]
+    return [piece for i in range(0, len(split), size) for piece in pieces(b" " + b" ".join(split[i : i + size]) + b" ")]
+
+
+def pieces(run: bytes) -> list[bytes]:
+    """A run cut at borders of characters; anything of up to ``SEGMENT_BYTES`` bytes is whole in one piece."""
+    out, start = [], 0
+    while len(run) - start > WINDOW_BYTES:
+        end = _character(run, start + WINDOW_BYTES)
+        out.append(run[start:end])
+        start = _character(run, end - SEGMENT_BYTES)
+    return [*out, run[start:]]
+
+
+def _character(run: bytes, at: int) -> int:
+    """Where the character at ``at`` begins; a character has at most four bytes."""
+    return next((i for i in range(at, at - 4, -1) if run[i] & 0xC0 != 0x80), at)
 
 
 def _grams(text: np.ndarray, size: int) -> np.ndarray:
@@ -98,7 +116,7 @@ def toxic_segments(toxic: list[np.ndarray], ordinary: list[np.ndarray], *, least
         at = np.flatnonzero(open_ & (gram == best))
         left, right = 0, int(width[best])
         for step in (-1, 1):
-            while right - left < 24:
+            while right - left < SEGMENT_BYTES:
                 edge = left - 1 if step < 0 else right
                 seen = [int(toxic[doc[i]][place[i] + edge]) for i in at if 0 <= place[i] + edge < len(toxic[doc[i]])]
                 byte, n = max(((b, seen.count(b)) for b in set(seen)), key=lambda x: x[1], default=(0, 0))

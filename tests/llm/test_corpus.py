@@ -25,7 +25,7 @@ from catloom.llm.near_dedup import NearDuplicates, least_matches, one_of_each
 from catloom.llm.neighbours import NeighbourGraph
 from catloom.llm.quality import QualityModel, keep_good, score_quality
 from catloom.llm.shards import assign_shards, best_fit, pack, write_shards
-from catloom.llm.toxicity import ToxicityModel, score_toxicity
+from catloom.llm.toxicity import Distance, ToxicityModel, pieces, score_toxicity
 from catloom.llm.url_rules import DigestArray, judge
 from catloom.llm.warc import MAGIC, archive_records, read_archives, write_archives
 from catloom.session import scratch
@@ -185,6 +185,16 @@ def test_classifiers_on_odd_tables(spark, model, score):
     assert score(rows.limit(0), model.train(rows.limit(0), given)).count() == 0
 
 
+def test_toxic_passage_at_the_end_of_a_text_without_blanks():
+    rng = random.Random(1)
+    plain, toxic = ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)).encode() for n in (50_000, 40))
+    distance = Distance(b" some ordinary words " * 50, toxic)
+    assert distance.saved(plain).max() < 20 < distance.saved(plain + toxic).max()
+    run = b" " + plain + b" "
+    assert all(p.decode() and len(p) <= 512 for p in pieces(run))
+    assert all(any(run[i : i + 24] in p for p in pieces(run[:3000])) for i in range(3000 - 24))
+
+
 def test_long_texts_leave_room_for_others(spark):
     rows = [(i, "x" * 500 if i % 7 == 0 else f"text {i}", i % 2) for i in range(200)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
