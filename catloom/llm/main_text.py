@@ -160,6 +160,8 @@ class Box:
     main: bool = False
     round_: str = ""  # "", "weak" or "strong"
     holds_main: bool = False
+    words: int = 0  # outside links and strong boxes
+    most: bool = False
     _place: int | None = None
 
     def place(self) -> int:
@@ -170,7 +172,7 @@ class Box:
             box = box.parent
         above = box._place if box is not None else 0
         for box in reversed(chain):
-            if above == -1 or box.round_ == "strong" or box.round_ == "weak" and not box.holds_main and above != 1:
+            if above == -1 or box.round_ == "strong" or box.round_ == "weak" and not (box.holds_main or box.most) and above != 1:
                 above = -1
             elif box.main:
                 above = 1
@@ -195,6 +197,24 @@ def _box(tag: str, attributes: str, parent: Box | None) -> Box:
     return box
 
 
+def _mark_most(boxes: list[Box], free: int) -> None:
+    """Adds up the words of boxes, given in the page's order, and marks those that hold more than half of all.
+
+    ``free`` are words outside every box; words in links or strong boxes don't count.
+    """
+    total = free
+    for box in reversed(boxes):
+        if box.round_ == "strong":
+            continue
+        if box.parent is not None:
+            box.parent.words += box.words
+        else:
+            total += box.words
+    # Words in a box that lies in a strong one never get past it.
+    for box in boxes:
+        box.most = 2 * box.words > total
+
+
 def _in_main(box: Box | None) -> bool:
     while box is not None:
         if box.main:
@@ -213,6 +233,7 @@ class Block:
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """``(text, words, link density, place)`` of the text blocks of a page, in its order."""
     found: list[Block] = []
+    boxes: list[Box] = []
     now, box, links, at = Block(), None, 0, 0
 
     def close() -> None:
@@ -262,15 +283,21 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
                         over = over.parent
                     box = over.parent if over is not None and over.tag == "li" else box
                 box = _box(tag, token[3], box)
+                boxes.append(box)
     add(page[at:])
     close()
-    out = []
+    out, free = [], 0
     for block in found:
         words = html.unescape("".join(block.parts)).split()
         if words:
-            linked = len(html.unescape(" ".join(block.linked)).split()) if block.linked else 0
-            out.append((" ".join(words), len(words), min(1.0, linked / len(words)), block.box.place() if block.box is not None else 0))
-    return out
+            linked = min(len(words), len(html.unescape(" ".join(block.linked)).split())) if block.linked else 0
+            if block.box is not None:
+                block.box.words += len(words) - linked
+            else:
+                free += len(words) - linked
+            out.append((" ".join(words), len(words), linked / len(words), block.box))
+    _mark_most(boxes, free)
+    return [(text, n, links, box.place() if box is not None else 0) for text, n, links, box in out]
 
 
 def main_text(page: str | None, tree: Node | None = None) -> str:

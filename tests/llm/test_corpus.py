@@ -369,6 +369,15 @@ def test_main_text_of_a_page(spark):
     assert got[2]["text"] == got[3]["text"] == "" and len(got[5]["text"]) > 100
 
 
+@pytest.mark.parametrize("wrapper", ["<form id='aspnetForm'>|</form>", "<div class='has-sidebar'>|</div>", "<div class='page-header-fixed'>|</div>"])
+def test_main_text_of_a_page_within_a_weak_box(wrapper):
+    start, end = wrapper.split("|")
+    body = [" ".join(f"word{i}{j}" for j in range(60)) for i in range(4)]
+    page = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>" + "".join(f"<p>{p}</p>" for p in body)
+    side = "<nav><p>" + "menu words " * 300 + "</p></nav><div class=related><p>" + "other words " * 20 + "</p></div>"
+    assert main_text(f"<html><body>{start}{page}{side}{end}</body></html>") == "\n\n".join(body)
+
+
 def test_articles_of_the_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
