@@ -38,6 +38,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0)) == 0
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes in DuckDB: a byte joins the remainder, then eight shifts by one bit."""
+    code = f"hex(encode({text}))"
+    steps = f"flatten(list_transform(range(length({code}) // 2), lambda b: [cast('0x' || substr({code}, 2 * b + 1, 2) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    shift = "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), {shift}), 4294967295)"
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
