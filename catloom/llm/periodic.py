@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_with_tasks
 from .common import NOT_SPACE, crc32_sql, query, row_blocks, table, text_bytes
@@ -173,10 +174,13 @@ def find_runs(codes: np.ndarray, borders: np.ndarray, least: int = LEAST_WORDS,
         grid.append(np.flatnonzero(several) * p)
         period.append(np.full(len(grid[-1]), p, np.int64))
     grid, period = np.concatenate(grid), np.concatenate(period)
+    # Words can be equal across texts; a run's pairs lie in one.
+    text = np.searchsorted(ends, grid)
+    inside = grid + (periods - 1) * period < ends[text]
+    grid, period, text = grid[inside], period[inside], text[inside]
     found = [np.zeros((0, 4), np.int64)]
     if len(grid):
         # The index is built over the texts that have candidates.
-        text = np.searchsorted(ends, grid)
         own, text = np.unique(text, return_inverse=True)
         some, some_borders = _taken(codes, borders, own)
         grid += (some_borders[:-1] + np.arange(len(own)) - (borders[own] + own))[text]
@@ -275,7 +279,7 @@ def periodic_runs(docs: DataFrame, *, text: str = "text", least: int = LEAST_WOR
     return docs.withColumn(name, _finder(least, periods)(F.col(text)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def planted(texts: pa.Array, keys: pa.Array) -> pa.Array:
     """The text with every word from place ``a`` on replaced by one of the ``p`` words there, for one key in ten.
 
