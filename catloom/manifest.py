@@ -10,6 +10,8 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from .session import read_bytes
+
 
 class Conflict(Exception):
     """Another writer made this version first."""
@@ -45,15 +47,12 @@ class Manifest:
         versions = self.versions()
         if not versions:
             return 0, {}
-        stream = self._fs().open(self._path(f"v{versions[-1]:012d}.json"))
-        try:
-            raw = self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)
-        finally:
-            stream.close()
-        return versions[-1], json.loads(bytes(raw).decode())
+        return versions[-1], json.loads(read_bytes(self.spark, f"{self.folder}/v{versions[-1]:012d}.json"))
 
     def commit(self, version: int, content: dict) -> None:
         """Makes ``version``; a ``Conflict`` if it is there."""
+        if version <= max(self.versions(), default=0):
+            raise Conflict(f"version {version} of {self.folder} is past")
         fs, jvm = self._fs(), self.spark.sparkContext._jvm
         own, final = self._path(f"_new-{uuid.uuid4().hex}"), self._path(f"v{version:012d}.json")
         out = fs.create(own, False)

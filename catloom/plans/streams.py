@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.store import new_store
 from ..session import scratch, written
-from ..streaming import batches, state
+from ..streaming import batches, keyed, state
 from .catalog import query, table
 from .relations import link_events
 
@@ -41,8 +41,11 @@ def _feed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str_02_seen_set", "select user_id, count(*) as rows, 1::bigint as first_seen from events group by 1")
 def _seen(spark: SparkSession, sf: str) -> DataFrame:
-    out = _drain(state.first_seen(_as_stream(_events(spark, sf), "seen-in"), ["user_id"]), "seen")
-    return out.groupBy("user_id").agg(F.count("*").alias("rows"), F.count_if("is_new").alias("first_seen"))
+    target, wheel = scratch(spark, "seen"), scratch(spark, "wheel")
+    stream = _as_stream(_events(spark, sf), "seen-in")
+    # One second per batch: nothing expires between the batches of this run.
+    keyed.seen_feed(stream, target, wheel, ["user_id"], ["event_id"], scratch(spark, "cp"), clock=lambda n: n, ttl_seconds=604_800).awaitTermination()
+    return spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("rows"), F.count_if("is_new").alias("first_seen"))
 
 
 @query("str_03_page_gate", "select event_type as sort_field, user_id as page, count(*) as rows, 1::bigint as passed from events group by all")
@@ -71,7 +74,10 @@ def _gate_batches(spark: SparkSession, sf: str) -> DataFrame:
 def _progress(spark: SparkSession, sf: str) -> DataFrame:
     """The last state of every link, after its events came in several batches."""
     spark_events = link_events(spark, sf)
-    out = _drain(state.link_progress(_as_stream(spark_events, "progress-in")), "progress")
+    target, states = scratch(spark, "progress"), scratch(spark, "states")
+    stream = _as_stream(spark_events, "progress-in")
+    keyed.progress_feed(stream, target, states, scratch(spark, "cp"), clock=lambda n: n).awaitTermination()
+    out = spark.read.parquet(target)
     last = F.max_by("state_after", F.struct("ts_sec", "event_id"))
     return out.groupBy("link_index").agg(last.alias("state"))
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import keep_first, unseen_in_history
 from ..operators.store import ContentStore
-from ..session import remove, scratch
-from ..sources.readers import read_or_empty
+from ..session import read_bytes, remove, scratch
 from ..sources.writers import write_all
+from .history import KeyHistory, TimingWheel, seeded
 
 
 def check_batch_size(batch_size: int) -> int:
@@ -41,46 +41,67 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """STR-01: append the first row of every key not seen before; the output itself is the history."""
-    schema = stream.schema
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gives its query: a new checkpoint is a new feed, whose batches count from 0 again."""
+    return json.loads(read_bytes(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"].replace("-", "")
+
+
+def batch_folder(target: str, tag: tuple[str, int]) -> str:
+    return f"{target.rstrip('/')}/feed={tag[0]}/batch={tag[1]}"
+
+
+def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, *, history: str | None = None) -> StreamingQuery:
+    """STR-01: the first row of every key not seen before goes to ``target``, in a folder per batch.
+
+    Keys are remembered in ``history``, by default beside the target; a new history is seeded from what ``target``
+    holds. A batch is probed against the history's filters and opens only the buckets where some key may be. A
+    batch that runs again is compared with what was there before it and replaces what it wrote. Blank keys
+    are never accepted.
+    """
+    fields = T.StructType([stream.schema[k] for k in keys])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, path = batch.sparkSession, scratch(batch.sparkSession, "feed")
-        keep_first(batch, keys, order).write.parquet(path)
-        first = spark.read.parquet(path)
-        history = read_or_empty(spark, target, schema)
-        unseen_in_history(first, history, keys).select(*batch.columns).write.mode("append").parquet(target)
-        remove(spark, path)
+        tag = (feed_id(spark, checkpoint), batch_id)
+        try:
+            keep_first(batch, keys, order).write.parquet(path)
+            first = spark.read.parquet(path)
+            seen = seeded(KeyHistory(spark, history or f"{target.rstrip('/')}-keys", fields), target, keys)
+            folder = batch_folder(target, tag)
+            seen.unseen(first, tag).select(*batch.columns).write.mode("overwrite").parquet(folder)
+            seen.add(spark.read.schema(batch.schema).parquet(folder), tag)
+        finally:
+            remove(spark, path)
 
     return run(stream, each, checkpoint)
 
 
 def gate_feed(
     stream: DataFrame, target: str, log: str, keys: list[str], order: list[str], checkpoint: str,
-    *, clock: Callable[[int], int], ttl_seconds: int,
+    *, clock: Callable[[int], int], ttl_seconds: int, width: int = 3600,
 ) -> StreamingQuery:
     """STR-02 / STR-03 without per-key state in one task: rows whose key was not seen within the TTL.
 
     A batch collapses to one row per key before it is shuffled, so a key with a
-    third of the feed costs one row per task. Sightings go to an append-only log;
-    every sighting restarts the key's clock. Both outputs are kept per batch, so a
-    batch that runs again replaces what it wrote. ``clock`` gives the seconds at
-    which a batch counts.
+    third of the feed costs one row per task. Every sighting restarts the key's clock. Sightings lie
+    on a timing wheel in ``log``, whose slots of ``width`` seconds are dropped whole when they are past, so a batch reads
+    what is alive and no more. Both outputs are kept per batch, so a batch that runs again replaces what it
+    wrote. ``clock`` gives the seconds at which a batch counts.
     """
-    schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField("expires_at", T.LongType()), T.StructField("batch", T.LongType())])
+    fields = T.StructType([stream.schema[k] for k in keys])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now, spark, path = clock(batch_id), batch.sparkSession, scratch(batch.sparkSession, "gate")
-        keep_first(batch, keys, order).write.parquet(path)
-        first = spark.read.parquet(path)
-        seen = read_or_empty(spark, log, schema)
-        live = seen.filter((F.col("expires_at") > now) & (F.col("batch") != batch_id))
-        passed = unseen_in_history(first, live, keys).select(*batch.columns)
-        passed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        sightings = first.select(*keys, F.lit(now + ttl_seconds).cast("bigint").alias("expires_at"))
-        sightings.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        remove(spark, path)
+        tag = (feed_id(spark, checkpoint), batch_id)
+        try:
+            keep_first(batch, keys, order).write.parquet(path)
+            first = spark.read.parquet(path)
+            wheel = TimingWheel(spark, log, fields, width=width)
+            passed = unseen_in_history(first, wheel.alive(now, tag), keys).select(*batch.columns)
+            passed.write.mode("overwrite").parquet(batch_folder(target, tag))
+            wheel.add(first, now, ttl_seconds, tag)
+        finally:
+            remove(spark, path)
 
     return run(stream, each, checkpoint)
 

@@ -144,3 +144,137 @@ def test_batches_read_their_buckets_only(spark):
     assert [r["_id"] for r in found.collect()] == ["aaaa"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "CONTENT-A" in plan
+
+
+# The log of the store
+
+
+def names(store):
+    return [(r["level"], r["changes"]) for r in store.manifest.read()[1]["runs"]]
+
+
+def rows_written(spark, store, run):
+    return spark.read.parquet(f"{store.path}/data/run={run['name']}").count()
+
+
+def test_a_change_writes_its_own_rows(spark):
+    store = new_store(spark, DOC, length=1)
+    store.insert(docs(spark, [(f"{i:x}", i) for i in range(200)]))
+    store.update_one(F.col("_id") == "a", {"v": F.lit(-1)})
+    store.delete_one(F.col("_id") == "b")
+    store.upsert(docs(spark, [("c", -2), ("new", -3), (None, 9), ("", 9)]), ["v"])
+    store.delete(docs(spark, [("d", 0), ("gone", 0), (None, 0)]))
+    assert [rows_written(spark, store, r) for r in store.manifest.read()[1]["runs"]] == [200, 1, 1, 2, 2]
+    want = {f"{i:x}": i for i in range(200)} | {"a": -1, "c": -2, "new": -3}
+    del want["b"], want["d"]
+    assert content(store) == want
+    store.insert_new(docs(spark, [("b", 5), ("a", 5)]), ["v"])
+    assert content(store) == want | {"b": 5}
+    store.compact()
+    assert names(store) == [(0, False)] and content(store) == want | {"b": 5}
+    assert rows_written(spark, store, store.manifest.read()[1]["runs"][0]) == len(want) + 1
+
+
+def test_store_against_a_dictionary(spark):
+    """Any order of changes, merged as they come, leaves what a dictionary holds."""
+    import random
+
+    rng, want = random.Random(7), {}
+    store = new_store(spark, DOC, length=1, fan=2)
+    for step in range(14):
+        ids = rng.sample("abcdefghij", 3)
+        kind = rng.choice(["insert_new", "upsert", "delete", "update_one"])
+        if kind == "insert_new":
+            store.insert_new(docs(spark, [(i, step) for i in ids]), ["v"])
+            want = {i: step for i in ids} | want
+        elif kind == "upsert":
+            store.upsert(docs(spark, [(i, step) for i in ids]), ["v"])
+            want |= {i: step for i in ids}
+        elif kind == "delete":
+            store.delete(docs(spark, [(i, 0) for i in ids]))
+            want = {k: v for k, v in want.items() if k not in ids}
+        else:
+            store.update_one(F.col("_id").isin(ids), {"v": F.lit(-step)})
+            want |= {min(set(ids) & set(want)): -step} if set(ids) & set(want) else {}
+        assert content(store) == want, (step, kind)
+    levels = [level for level, _ in names(store)]
+    assert levels == sorted(levels, reverse=True) and len(levels) <= 5
+
+
+def test_a_lost_writer_changes_nothing(spark, monkeypatch):
+    store = new_store(spark, DOC, length=1, fan=2)
+    store.insert(docs(spark, [("a", 1), ("b", 2)]))
+    before = store.read()
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.manifest, "commit", lost)
+        for change in (
+            lambda: store.upsert(docs(spark, [("a", 9)]), ["v"]), lambda: store.delete_one(F.col("_id") == "a"), lambda: store.insert(docs(spark, [("c", 3)]))
+        ):
+            with pytest.raises(RuntimeError):
+                change()
+    assert content(store) == {"a": 1, "b": 2}
+    # Lost while merging: the change before it is committed, the runs stay as they were and are merged next time.
+    with monkeypatch.context() as m:
+        m.setattr(store, "_merge", lost)
+        with pytest.raises(RuntimeError):
+            store.upsert(docs(spark, [("a", 9)]), ["v"])
+    assert content(store) == {"a": 9, "b": 2} and len(names(store)) == 2
+    store.insert(docs(spark, [("c", 3)]))
+    assert content(store) == {"a": 9, "b": 2, "c": 3} and names(store) == [(1, False)]
+    # A frame from before the changes still reads the runs it was made from.
+    assert {r["_id"]: r.v for r in before.collect()} == {"a": 1, "b": 2}
+
+
+def test_two_writers(spark, monkeypatch):
+    one = new_store(spark, DOC, length=1)
+    two = type(one)(spark, one.path, DOC, length=1)
+    one.insert(docs(spark, [("a", 1)]))
+    write = one._write
+
+    def late(rows):
+        name = write(rows)
+        monkeypatch.setattr(one, "_write", write)
+        two.insert_new(docs(spark, [("b", 7), ("c", 7)]), ["v"])
+        return name
+
+    monkeypatch.setattr(one, "_write", late)
+    fresh = one.insert_new(docs(spark, [("b", 2), ("d", 3)]), ["v"])
+    assert {r["_id"] for r in fresh.collect()} == {"d"}
+    assert content(one) == content(two) == {"a": 1, "b": 7, "c": 7, "d": 3}
+
+
+def test_manifest(spark):
+    from catloom.manifest import Conflict, Manifest
+
+    folder = scratch(spark, "manifest")
+    m = Manifest(spark, folder, keep=3)
+    assert m.read() == (0, {})
+    m.commit(1, {"a": "é"})
+    with pytest.raises(Conflict):
+        Manifest(spark, folder).commit(1, {"a": 2})
+    assert m.read() == (1, {"a": "é"})
+    for _ in range(5):
+        m.change(lambda c: {"n": c.get("n", 0) + 1})
+    assert m.read() == (6, {"n": 5}) and m.versions() == [4, 5, 6]
+
+
+def test_leases_are_disjoint(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from catloom.operators.sequence import IdLeases, lease_ids
+
+    folder = scratch(spark, "ids")
+    with ThreadPoolExecutor(4) as pool:
+        blocks = list(pool.map(lambda k: IdLeases(spark, folder, first=5).lease(k), [3, 0, 10, 1] * 6))
+    assert [b - a + 1 for a, b in blocks] == [3, 0, 10, 1] * 6
+    ids = sorted(i for a, b in blocks for i in range(a, b + 1))
+    assert ids == list(range(5, 5 + 14 * 6))
+    rows, first, last = lease_ids(docs(spark, [("x", 2), ("y", 1)]), IdLeases(spark, folder), ["v"])
+    assert (first, last) == (89, 90) and {r["_id"]: r.iid for r in rows.collect()} == {"y": 89, "x": 90}
+    assert lease_ids(docs(spark, []), IdLeases(spark, folder), ["v"])[1:] == (91, 90)
+    with pytest.raises(ValueError):
+        IdLeases(spark, folder).lease(-1)
