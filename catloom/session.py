@@ -57,6 +57,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Frames that are written down for a while: what is not kept can be removed together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes everything that was put here. Frames made from it must have been written elsewhere or be done."""
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
 def ship_with_tasks(module_name: str) -> None:
     """Send a module's classes and functions with the tasks that use them.
 
