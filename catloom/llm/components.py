@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import Shelf
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``; the root is the smallest node that can be reached.
 
     Both steps aggregate per node, so a node with many links is combined before the shuffle, and each round is
-    written to the shared folder. Links of a node with itself and links with null ends are left out.
+    written to the shared folder, where it takes the place of the one before. Links of a node with itself and links with null ends are left out.
     """
-    now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    shelf = Shelf(links.sparkSession)
+    now = shelf.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        last, shelf = shelf, Shelf(links.sparkSession)
+        now = shelf.put(_small_star(_large_star(now).distinct()).distinct(), "links")
+        last.clear()
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("h")).first()
         if mark == before:
             break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_with_tasks, written
+from ..session import Shelf, ship_with_tasks, written
 from .common import BYTE_CODES_LOWER, NOT_SPACE, mixed, powers, query, row_blocks, table, text_bytes, words
 from .components import components
 
@@ -177,8 +177,9 @@ class NearDuplicates:
 
     Documents with the same set form a class, of which only the smallest id goes on. In every bucket of a band
     the members are compared with one leader at a time, so a bucket of many copies costs its size, not its
-    square. Members already in one component need no comparison; pairs of different components that share a
-    bucket and were not compared with a leader are compared in the end, so no link that shares a band is lost.
+    square. Members already in one component need no comparison. What is left, pairs of different components that share a
+    bucket and were not compared with a leader, is settled by differences from a pivot, see ``_across``, so no link
+    that shares a band is lost.
     """
 
     def __init__(self, docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = 5, similar: int = SIMILAR, miss: float = MISS):
@@ -207,36 +208,79 @@ class NearDuplicates:
         more = self._confirmed(rest.join(second, "bucket").filter("root <> of").select("a", F.col("id").alias("b")))
         found = written(found.unionByName(more), "links")
         left = written(self._rooted(rest.drop("root"), components(found)), "left")
-        return written(found.unionByName(self._confirmed(self._across(left))), "links")
+        return self._across(left, found)
 
-    def _across(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components that share a bucket and can still be links, of rows ``(bucket, id, root)``.
+    def _across(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Links between members of different components that share a bucket, of rows ``(bucket, id, root)``.
 
-        If shingles are put in one order, rarest first, sets that are similar enough share one of the first
-        ``n - similar * n + 1`` shingles of either. Copies with too many words of their own have nothing in common there,
-        so a family of them makes no pairs. The largest component of a bucket is only compared with the others.
+        The root of a bucket's largest component is its pivot, and buckets with one pivot are taken together. Of each member only
+        the difference from the pivot goes on: the shingles that one of the two sets has and the other lacks. Two sets are linked
+        if the symmetric difference of their differences is small enough, so each member that is linked with its pivot is known at
+        once, and two members, one of which at least is not, must have many differences in common. In one order, rarest first, they then
+        share one of the first differences of either. Copies that were changed at random have few differences in common, most are
+        their own, so a family of copies makes no pairs however many of them are not quite similar enough.
         """
+        shelf = Shelf(rows.sparkSession)
         sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-        mixed_rows = written(rows.join(main, "bucket").select("bucket", "id", "root", "main"), "mixed")
-        own = mixed_rows.join(written(self._rarest(mixed_rows.select("id").distinct()), "rarest"), "id")
-        few = own.filter("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("rare").alias("rare_a"))
-        # Between two of the others one order is enough.
-        once = (F.col("root") == F.col("main")) | (F.col("root") > F.col("root_a"))
-        pairs = few.join(own, "bucket").filter((F.col("root") != F.col("root_a")) & once & F.arrays_overlap("rare_a", "rare"))
-        return pairs.select("a", F.col("id").alias("b"))
-
-    def _rarest(self, ids: DataFrame) -> DataFrame:
-        """``(id, rare)``: of each set the shingles of which a similar set must have one, without those that no other has."""
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root"))["root"].alias("pivot"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "pivot")
+        members = shelf.put(rows.join(main, "bucket").select("pivot", "id").distinct(), "members")
+        deltas = shelf.put(self._differences(members), "deltas")
+        direct = shelf.put(deltas.filter("near and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "direct")
+        found = links.unionByName(direct)
+        rooted = self._rooted(deltas, components(found))
+        split = rooted.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("pivot")
+        open_ = shelf.put(rooted.join(split, "pivot"), "open")
+        more = self._confirmed(self._common_differences(open_))
+        out = written(found.unionByName(more), "links")
+        shelf.clear()
+        return out
+
+    def _differences(self, members: DataFrame) -> DataFrame:
+        """``(pivot, id, same, n, of, d, near)`` of members ``(pivot, id)``: the sizes of both sets, their difference, and whether they are linked."""
+        ids = members.select("id").unionByName(members.select(F.col("pivot").alias("id"))).distinct()
+        # Rows that repeat an id have sets of their own; for a pivot any of them will do.
         ids = written(ids, "ids")
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id")
-        # Rows that repeat an id have lists of their own.
-        shingles = texts.select("id", F.xxhash64("text").alias("t"), F.explode(_shingles(self.width)("text")).alias("s")).distinct()
-        counted = shingles.join(shingles.groupBy("s").agg(F.count("*").alias("df")), "s")
-        lists = counted.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
-        n = F.size("all")
-        first = F.slice("all", F.lit(1), n - F.ceil(n * self.similar / 100).cast("int") + 1)
-        return lists.select("id", F.transform(F.filter(first, lambda x: x["df"] > 1), lambda x: x["s"]).alias("rare"))
+        sets = texts.select("id", F.xxhash64("text").alias("same"), _shingles(self.width)("text").alias("s")).dropDuplicates(["id", "same"])
+        sets = written(sets.filter(F.size("s") > 0), "sets")
+        pivots = sets.groupBy(F.col("id").alias("pivot")).agg(F.min_by("s", "same").alias("p"))
+        met = members.join(sets, "id").join(pivots, "pivot")
+        d = F.concat(F.array_except("s", "p"), F.array_except("p", "s"))
+        n, of = F.size("s"), F.size("p")
+        out = met.select("pivot", "id", "same", n.cast("bigint").alias("n"), of.cast("bigint").alias("of"), d.alias("d"))
+        both = F.col("n") + F.col("of")
+        return out.withColumn("near", 100 * (both - F.size("d")) >= self.similar * (both + F.size("d")))
+
+    def _common_differences(self, rows: DataFrame) -> DataFrame:
+        """Pairs ``(a, b)`` of rows ``(pivot, id, same, root, n, of, d, near)`` of different roots that can be linked.
+
+        Sets x and y of sizes n and m are linked if their differences dx and dy have at least ``(|dx| + |dy| - k (n + m)) / 2`` shingles
+        in common, where ``k = (100 - similar) / (100 + similar)``. Two that are near the pivot are in its component. If x is not near,
+        ``|dx| > k (n + |p|)``, so more than ``(|dy| + k (|p| - m)) / 2`` are in common, about half of dy; and as ``|dy| >= |m - |p||``,
+        at least ``(|dx| - k (n + |p|)) / 2``. Sets with so many in common share one of the first ``|d| - common + 1``. What only
+        one member has is counted, not listed. Where the first shared one stands, enough others must be left behind it in both.
+        """
+        part, whole = 100 - self.similar, 100 + self.similar
+        name = ["pivot", "id", "same"]
+        tokens = rows.select(*name, F.explode("d").alias("t"))
+        shared = tokens.groupBy("pivot", "t").agg(F.count("*").alias("df")).filter("df > 1")
+        lists = tokens.join(shared, ["pivot", "t"]).groupBy(*name).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("list"))
+        size = F.size("d").cast("bigint")
+        half = F.greatest(F.floor((size * whole + part * (F.col("of") - F.col("n"))) / (2 * whole)) + 1, F.lit(1))
+        least = F.greatest(F.ceil((size * whole - part * (F.col("of") + F.col("n"))) / (2 * whole)), F.lit(1))
+        sized = rows.withColumns({"size": size, "short": size - half + 1, "long": size - least + 1}).drop("d").join(lists, name)
+        alone = F.col("size") - F.size("list")
+        # A member near the pivot meets those that are not; they meet each other too.
+        longest = F.when(F.col("near"), F.col("short")).otherwise(F.greatest("long", "short"))
+        first = F.slice("list", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))
+        listed = sized.select("pivot", "id", "root", "n", "size", "near", "short", alone.alias("alone"), F.posexplode(first).alias("at", "e"))
+        placed = written(listed.select("pivot", F.col("e.t").alias("t"), "id", "root", "n", "size", "near", "short", (F.col("alone") + F.col("at")).alias("at")), "placed")
+        far = placed.filter("not near").select("pivot", "t", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "size", "short", "at")])
+        other = F.col("near") | (F.col("at_a") < F.col("short_a")) & (F.col("at") < F.col("short")) & (F.col("id_a") < F.col("id"))
+        left = F.least(F.col("size_a") - F.col("at_a"), F.col("size") - F.col("at"))
+        enough = whole * (F.col("size_a") + F.col("size") - 2 * left) <= part * (F.col("n_a") + F.col("n"))
+        pairs = far.join(placed, ["pivot", "t"]).filter((F.col("root") != F.col("root_a")) & other & enough)
+        return pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b"))
 
     @staticmethod
     def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:

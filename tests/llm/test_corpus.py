@@ -278,6 +278,50 @@ def test_near_duplicates_against_brute_force(spark, width):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width)
 
 
+def edited(rng, words, share):
+    """Some words replaced, dropped or put in, about ``share`` of them."""
+    out = []
+    for w in words:
+        kind = rng.choice(["keep", "put", "drop", "replace"]) if rng.random() < share else "keep"
+        out += {"keep": [w], "put": [w, f"n{rng.randint(0, 400)}"], "drop": [], "replace": [f"n{rng.randint(0, 400)}"]}[kind]
+    return out
+
+
+@pytest.mark.parametrize(("width", "shares"), [(2, (0.01, 0.1)), (2, (0.04, 0.2)), (5, (0.01, 0.06)), (1, (0.05, 0.5))])
+def test_members_of_a_bucket_against_brute_force(spark, width, shares):
+    """One bucket with everything in it and no leader: differences from a pivot find every component."""
+    rng = random.Random(21)
+    texts = ["a", "b c", "unlike all others " * 3]
+    for _ in range(4):
+        base = [f"w{rng.randint(0, 500)}" for _ in range(rng.choice([25, 60, 120]))]
+        texts += [" ".join(edited(rng, base, rng.uniform(*shares))) for _ in range(25)]
+        texts += [" ".join(base[: rng.randint(len(base) * 3 // 4, len(base))]) for _ in range(6)]
+    found = NearDuplicates(docs(spark, *texts), width=width)
+    want = brute_components(texts, width)
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    rows = found.classes.select(F.lit(1).alias("bucket"), "id", F.col("id").alias("root"))
+    links = found._across(rows, none)
+    first = {r["id"]: r["first"] for r in found.members.collect()}
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    assert [roots.get(first[i], first[i]) for i in range(len(texts))] == [root for _, root in want]
+    # Nothing is linked that is not.
+    assert all(want[r["a"]][1] == want[r["b"]][1] for r in links.collect())
+
+
+def test_a_family_of_half_alike_copies_makes_few_pairs(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(rng.choice([w, w, w, w, w, w, w, w, w, w, w, w, w, f"n{rng.randint(0, 10**9)}"]) for w in base) for _ in range(300)]
+    found = NearDuplicates(docs(spark, *texts), width=2)
+    rows = found.classes.select(F.lit(1).alias("bucket"), "id", F.col("id").alias("root"))
+    members = rows.select(F.lit(0).cast("bigint").alias("pivot"), "id")
+    deltas = found._rooted(found._differences(members), spark.createDataFrame([], "node bigint, root bigint"))
+    # 44,850 pairs share the bucket.
+    assert found._common_differences(deltas).distinct().count() < 3000
+    assert {r["component_id"] for r in found.components().collect()} == {root for _, root in brute_components(texts, 2)}
+    assert rows.count() == 300
+
+
 def test_one_of_each_keeps_odd_rows(spark):
     rows = docs(spark, "a b c d e f g", "A b c d e f g", None, None, "").unionByName(spark.createDataFrame([(None, "a b c d e f g", "x", "y", 1)] * 2, DOCS))
     rows = rows.unionByName(rows.filter("doc_id = 1")).withColumn("component_id", F.lit("clash"))
