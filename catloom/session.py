@@ -57,6 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 class Shelf:
     """Frames that are written down for a while: what is not kept can be removed together."""
 
