@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Shelf
+from ..session import Shelf, ship_with_tasks
+
+ship_with_tasks(__name__)
 
 
 def _large_star(links: DataFrame) -> DataFrame:

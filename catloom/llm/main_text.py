@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,9 +139,14 @@ def train_tree(rows: list[tuple[int, tuple[float, ...]]], depth: int = 6) -> Nod
     return node
 
 
-@lru_cache(maxsize=1)
+_trees: list[Node] = []
+
+
 def default_tree() -> Node:
-    return train_tree(labelled_rows())
+    # Not a cached function: those are shipped by name, and workers may lack the package.
+    if not _trees:
+        _trees.append(train_tree(labelled_rows()))
+    return _trees[0]
 
 
 def is_main(tree: Node, features: tuple[float, ...]) -> bool:

@@ -82,15 +82,15 @@ def mix_plan(docs: DataFrame, *, key: str = "doc_id", source: str = "source", si
 
 
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = ":mix") -> DataFrame:
-    """The mix itself: every document as often as ``mix_plan`` says, columns as in ``docs``."""
-    sized = docs.select(*docs.columns).withColumn("_size", word_count(F.col(text)))
-    plan = mix_plan(sized, key=key, source=source, size="_size", seed=seed) if not {"source_size", "target", "copies"} & set(docs.columns) else None
-    if plan is None:
-        # Carry clashing columns as one struct past the plan's own names.
-        packed = sized.select(F.struct(*docs.columns).alias("_row"), F.col(key), F.col(source), "_size")
-        plan = mix_plan(packed, key=key, source=source, size="_size", seed=seed)
-        return plan.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
-    return plan.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: every document as often as ``mix_plan`` says, columns as in ``docs``.
+
+    A null text has no words; a null source is a source of its own, behind the others; a null key is drawn as ''. Repeated rows are
+    drawn alike, each for itself. An empty table gives an empty mix. The row travels as one struct, so its columns may have any name.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"))
+    plan = mix_plan(packed, key="_key", source="_source", size="_size", seed=seed)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return plan.select("_row", copies).select("_row.*")
 
 
 OP4_SQL = r"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -120,7 +119,6 @@ def _set_maker(width: int):
     return make.asNondeterministic()
 
 
-@lru_cache(maxsize=8)
 def least_matches(size: int, batch: int, similar: int, miss: float) -> tuple[tuple[int, int], ...]:
     """After each batch of signature values, the least number of equal ones with which a pair goes on.
 

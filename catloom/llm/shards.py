@@ -106,15 +106,15 @@ def _bricks(capacity: int):
     return fill
 
 
-def assign_shards(docs: DataFrame, *, shards: int = SHARDS, key: str = "doc_id", text: str = "text", group: str | None = None, bricks: int = BRICKS, cell_rows: int = 20_000) -> DataFrame:
+def assign_shards(docs: DataFrame, *, shards: int = SHARDS, key: str = "doc_id", text: str = "text", group: str | None = None, bricks: int = BRICKS, cell_rows: int = 20_000, most_bricks: int | None = None) -> DataFrame:
     """``docs`` as rows ``(row, size, shard, slot)``, ``row`` holding all columns of ``docs``.
 
     The size of a document is the bytes of its text plus 1; a null text has none. Documents with equal texts (or equal
     values of the column ``group``) are indivisible; null texts are equal to each other. Groups are dealt
     out by hash into cells of about ``cell_rows`` groups. Each cell packs its groups best fit decreasing into
-    bricks of ``1 / bricks`` of a shard; groups larger than that are bricks of their own. The bricks, whose
-    number is bounded by their sizes and the number of cells, are then packed best fit decreasing into ``shards``
-    shards of the least capacity that works. A group larger than a shard's even part fills a shard alone.
+    bricks of ``1 / bricks`` of a shard; groups larger than that are bricks of their own. While there are more than
+    ``most_bricks`` (four times ``shards * bricks``), what the cells left open is packed again in fewer cells, so what the
+    driver packs at last, best fit decreasing into ``shards`` shards of the least capacity that works, doesn't grow with the table. A group larger than a shard's even part fills a shard alone.
     Slots count the rows of a shard from 0 in the order of the key, nulls first; rows alike in all that counts may swap places.
     """
     value = F.col(group) if group else F.col(text)
@@ -123,10 +123,11 @@ def assign_shards(docs: DataFrame, *, shards: int = SHARDS, key: str = "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.sha2(value.cast("string"), 256), F.lit("")).alias("unit"),
     )
-    return _numbered(_sharded(sized, shards, bricks, cell_rows))
+    return _numbered(_sharded(sized, shards, bricks, cell_rows, most_bricks))
 
 
-def _sharded(sized: DataFrame, shards: int, bricks: int, cell_rows: int) -> DataFrame:
+def _sharded(sized: DataFrame, shards: int, bricks: int, cell_rows: int, most: int | None = None) -> DataFrame:
+    most = most or 4 * shards * bricks
     units = written(sized.groupBy("unit").agg(F.sum("size").alias("bytes")), "units")
     total = units.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     capacity = max(1, -(-total["bytes"] // (shards * bricks)))
@@ -135,8 +136,23 @@ def _sharded(sized: DataFrame, shards: int, bricks: int, cell_rows: int) -> Data
     filled = small.groupBy("cell").applyInPandas(_bricks(capacity), "unit string, bytes bigint, cell bigint, brick bigint")
     large = units.filter(F.col("bytes") >= capacity).select("unit", "bytes", F.lit(-1).cast("bigint").alias("cell"), F.xxhash64("unit").alias("brick"))
     placed = written(filled.unionByName(large), "bricks")
-    # At most shards * bricks large bricks, about as many full small ones, and those left open in each cell.
-    sums = placed.groupBy("cell", "brick").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "cell", "brick").collect()
+    # At most shards * bricks bricks are full; each cell leaves some open, so their number grows with the cells.
+    sums, round_ = written(placed.groupBy("cell", "brick").agg(F.sum("bytes").alias("bytes")), "sums"), 0
+    while sums.count() > most:
+        # The open bricks are packed like groups, in far fewer cells: at most one brick in each is less than half full.
+        round_ += 1
+        open_ = sums.filter(F.col("bytes") < capacity)
+        fewer = max(1, -(-open_.count() // cell_rows))
+        name = F.concat_ws(":", F.col("cell").cast("string"), F.col("brick").cast("string"))
+        dealt = open_.select(name.alias("unit"), "bytes", (F.pmod(F.xxhash64("cell", "brick"), F.lit(fewer)) + F.lit(round_ << 40)).alias("cell"))
+        packed = dealt.groupBy("cell").applyInPandas(_bricks(capacity), "unit string, bytes bigint, cell bigint, brick bigint")
+        moved = written(packed.select(F.col("unit").alias("was"), F.col("cell").alias("_cell"), F.col("brick").alias("_brick")), "moved")
+        joined = placed.join(moved, name == F.col("was"), "left")
+        placed = written(joined.select("unit", "bytes", F.coalesce("_cell", "cell").alias("cell"), F.coalesce("_brick", "brick").alias("brick")), "bricks")
+        before, sums = sums.count(), written(placed.groupBy("cell", "brick").agg(F.sum("bytes").alias("bytes")), "sums")
+        if fewer == 1 or sums.count() >= before:
+            break
+    sums = sums.orderBy(F.desc("bytes"), "cell", "brick").collect()
     where = pack([r["bytes"] for r in sums], shards)
     spark = sized.sparkSession
     plan = spark.createDataFrame([(r["cell"], r["brick"], s) for r, s in zip(sums, where, strict=True)], "cell bigint, brick bigint, shard int")

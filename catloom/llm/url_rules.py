@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_with_tasks
+from ..session import scratch, ship_with_tasks, write_bytes
 from .common import lower_ascii, query, table
 
 ship_with_tasks(__name__)
@@ -78,9 +75,14 @@ class DigestArray:
         return found
 
 
-@lru_cache(maxsize=2)
+_maps: dict[str, DigestArray] = {}
+
+
 def _mapped(name: str) -> DigestArray:
-    return DigestArray(SparkFiles.get(name))
+    # Not a cached function: those are shipped by name, and workers may lack the package.
+    if name not in _maps:
+        _maps[name] = DigestArray(SparkFiles.get(name))
+    return _maps[name]
 
 
 def _rule_texts(host: bytes, path: bytes, sizes: dict[int, list[int]]) -> list[bytes]:
@@ -94,13 +96,11 @@ def _rule_texts(host: bytes, path: bytes, sizes: dict[int, list[int]]) -> list[b
 
 
 def _publish(spark: SparkSession, packed: bytes) -> str:
-    """Hands a file of rules to Spark, which copies it to every executor that asks for it."""
-    name = f"rules-{hashlib.sha256(packed).hexdigest()}"
-    path = os.path.join(os.path.realpath(tempfile.gettempdir()), name)
-    with open(path, "wb") as out:
-        out.write(packed)
+    """Hands a file of rules in the shared folder to Spark, which copies it to every executor that asks for it."""
+    path = scratch(spark, f"rules-{hashlib.sha256(packed).hexdigest()}")
+    write_bytes(spark, path, packed)
     spark.sparkContext.addFile(path)
-    return name
+    return path.rpartition("/")[2]
 
 
 def judge(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str = ALLOW, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -89,6 +89,16 @@ def test_pack_is_even():
     assert pack([], 3) == [] and pack([9, 1], 4) == [0, 1] and pack([90, 3, 3, 2, 2], 3) == [0, 1, 2, 1, 2]
 
 
+def test_open_bricks_are_packed_again(spark):
+    """Many cells leave many open bricks; their number comes down, groups stay whole and shards even."""
+    rng = random.Random(4)
+    rows = docs(spark, *("x" * rng.randint(1, 60) + str(i % 700) for i in range(1500)))
+    out = [(r["row"]["text"], r["shard"], r["size"]) for r in assign_shards(rows, shards=4, bricks=8, cell_rows=5, most_bricks=48).collect()]
+    assert len(out) == 1500 and len({(t, s) for t, s, _ in out}) == len({t for t, _, _ in out})
+    sums = [sum(n for _, s, n in out if s == k) for k in range(4)]
+    assert max(sums) < 1.05 * min(sums)
+
+
 def test_shards_hold_whole_groups(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/documents.parquet").unionByName(docs(spark, None, None, "", "same", "same", "x" * 300_000))
     rows = rows.withColumns({"shard": F.lit(1), "size": F.lit("clash")})
