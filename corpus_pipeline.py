@@ -1,4 +1,9 @@
-"""From raw documents to packed training shards: one stage after another, each written as Parquet and read again."""
+"""From raw documents to packed training shards: one stage after another, each written as Parquet and read again.
+
+An empty table goes through all stages and stays empty. Texts that are null or empty are documents like others: they are scored by the
+classifier's bias, are near copies of nothing, hold no benchmark words and take no words of a source. Rows without a
+doc_id pass the near duplicates; of rows that repeat one, one passes. Further columns, whatever their names, are carried along.
+"""
 
 from __future__ import annotations
 
@@ -35,9 +40,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into shards of nearly equal bytes, copies of a text together."""
+    """Packs what is left into shards of nearly equal bytes, copies of a text together.
+
+    Columns of the documents called ``bytes``, ``shard`` or ``slot`` give way to those of the shards.
+    """
     out = assign_shards(docs)
-    return out.select("row.*", F.col("size").alias("bytes"), "shard", "slot")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("bytes", "shard", "slot")]
+    return out.select(*own, F.col("size").alias("bytes"), "shard", "slot")
 
 
 STAGES = [
