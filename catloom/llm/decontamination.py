@@ -18,8 +18,8 @@ WINDOW = 10
 # Items are searched in blocks of about this many bytes; each block is broadcast, so this is its bound.
 ITEM_BYTES = 8 << 20
 # A shard has at most this many training words, so positions fit in 20 bits of a sort key.
-SHARD_WORDS = 1 << 20
-_TEXT_BYTES = 4 << 20
+SHARD_WORDS = 1 << 18
+_TEXT_BYTES = 1 << 20
 _FOUND = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
 
 
