@@ -297,21 +297,56 @@ def walk_tree(links: DataFrame, *, key: str, parent: str, name: str, levels: int
     return done.select(key, "path", (F.size("path") - 1).alias("level")), open_.select(key)
 
 
-def build_index(paths: DataFrame, names_path: str, *, max_ids: int = OTHER_ID - 1) -> DataFrame:
-    """WIN-04: ids path and running index of every category path and its prefixes.
-
-    Under each parent the first ``max_ids`` names (by name) are numbered, all
-    later ones share the "other" id.
-    """
+def _index_nodes(paths: DataFrame, names_path: str) -> DataFrame:
+    """Every path and its prefixes once, with the parent's path and the own name."""
     p = F.col(names_path)
     prefixes = paths.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.slice(p, F.lit(1), n))).alias("_path")
     ).distinct()
-    nodes = prefixes.select(
+    return prefixes.select(
         "_path",
         F.slice("_path", F.lit(1), F.size("_path") - 1).alias("_parent"),
         F.element_at("_path", -1).alias("_name"),
     )
+
+
+def extend_index(paths: DataFrame, names_path: str, earlier: DataFrame, *, max_ids: int = OTHER_ID - 1) -> DataFrame:
+    """WIN-04 over loads: the earlier index with what is new in ``paths`` behind it.
+
+    What ``earlier`` (a result of ``build_index`` or of this) holds keeps its ids and its place. New names follow the
+    highest id under their parent, in order of the name; beyond ``max_ids`` they share the "other" id. New paths
+    are placed behind the last one. So ids never change, and one load after another gives the same as long as the names come in the same order.
+    """
+    known = earlier.select(
+        F.col("cate_names_path").alias("_path"), F.slice("cate_names_path", F.lit(1), F.size("cate_names_path") - 1).alias("_parent"),
+        F.element_at("cate_ids_path", -1).alias("_id"),
+    )
+    fresh = written(_index_nodes(paths, names_path).join(known.select("_path"), "_path", "left_anti"), "index-nodes")
+    tops = known.filter(F.col("_id") != OTHER_ID).groupBy("_parent").agg(F.max("_id").alias("_top"))
+    ranked = top_n_per_group(fresh, ["_parent"], [F.col("_name")], max_ids, spread=["_path"], rank="_rank")
+    numbered = fresh.join(ranked.select("_path", "_rank"), "_path", "left").join(tops, "_parent", "left")
+    number = F.coalesce("_top", F.lit(0)) + F.col("_rank")
+    own = written(numbered.select("_path", F.when(number <= max_ids, number).otherwise(F.lit(OTHER_ID)).cast("int").alias("_id")), "index-ids")
+    # A new path's prefixes are new, or known: their ids are gathered from both.
+    every = own.unionByName(known.select("_path", "_id"))
+    wide = own.select("_path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_path")), lambda n: F.slice(F.col("_path"), F.lit(1), n))).alias("_pos", "_prefix"))
+    found = lookup_join(wide, every.select(F.col("_path").alias("_prefix"), "_id"), ["_prefix"], "inner", spread=["_path", "_pos"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda s: s["_id"])
+    keyed = found.groupBy("_path").agg(ids.alias("cate_ids_path")).select(
+        "cate_ids_path", F.col("_path").alias("cate_names_path"), F.array_join("_path", "\x01").alias("_sort")
+    )
+    first = earlier.agg(F.coalesce(F.max("cate_level_index"), F.lit(-1)).alias("m")).first()["m"] + 1
+    added = dense_position(keyed, ["_sort"], "cate_level_index", start=first).drop("_sort")
+    return earlier.select(*added.columns).unionByName(added)
+
+
+def build_index(paths: DataFrame, names_path: str, *, max_ids: int = OTHER_ID - 1) -> DataFrame:
+    """WIN-04: ids path and running index of every category path and its prefixes.
+
+    Under each parent the first ``max_ids`` names (by name) are numbered, all
+    later ones share the "other" id.
+    """
+    nodes = written(_index_nodes(paths, names_path), "index-nodes")
     ranked = top_n_per_group(nodes, ["_parent"], [F.col("_name")], max_ids, spread=["_path"], rank="_id")
     numbered = nodes.join(ranked.select("_path", "_id"), "_path", "left").select(
         "_path", F.coalesce("_id", F.lit(OTHER_ID)).cast("int").alias("_id")

@@ -36,6 +36,7 @@ NODE_VARIABLES = {
     "NODE_DETAIL_COMMON_SUB_OWNER_ID": "DETAIL",
 }
 _VARIABLE = re.compile(r"#\{(NODE_[A-Za-z_][A-Za-z0-9_]*)\}")
+COMBINED_BLOCK = 1024  # combinations numbered in one cell
 _EMPTY = "array<string>"
 
 
@@ -92,6 +93,30 @@ def combine_template(template: str, variables: dict[str, Column], *, layer: str)
     return out
 
 
+def combine_rows(df: DataFrame, template: str, variables: dict[str, Column], *, layer: str, pos: str = "pos", name: str = "combined") -> DataFrame:
+    """PRJ-12 as rows: ``df`` once for every combination, with its number ``pos`` and text ``name``, the last variable fastest.
+
+    A combination is its number written in mixed radix, one digit for each variable, so no product lies in a
+    cell: numbers are given out in blocks, and each row decodes its own. A row with an empty list gives none.
+    """
+    names = template_variables(template, layer)
+    fragments = _VARIABLE.split(template)[::2]
+    lists = {f"_v{i}": variables.get(n, strings()) for i, n in enumerate(names)}
+    held = df.withColumns(lists) if lists else df
+    count = F.lit(1).cast("bigint")
+    for v in lists:
+        count = count * F.coalesce(F.size(v), F.lit(0))
+    last = F.floor((F.col("_count") - 1) / COMBINED_BLOCK).cast("bigint")
+    blocks = held.withColumn("_count", count).filter("_count > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    first = F.col("_block") * COMBINED_BLOCK
+    rows = blocks.withColumn(pos, F.explode(F.sequence(first, F.least(first + COMBINED_BLOCK, F.col("_count")) - 1)))
+    text, rest = F.lit(fragments[-1]), F.col(pos)
+    for v, fragment in zip(reversed(lists), reversed(fragments[:-1]), strict=True):
+        text = F.concat(F.lit(fragment), F.get(F.col(v), (rest % F.size(v)).cast("int")), text)
+        rest = F.floor(rest / F.size(v)).cast("bigint")
+    return rows.withColumn(name, text).drop("_count", "_block", *lists)
+
+
 def _append_each(heads: Column, values: Column, tail: str) -> Column:
     return F.flatten(
         F.transform(heads, lambda head: F.transform(values, lambda v: F.concat(head, v, F.lit(tail))))

@@ -10,17 +10,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import JavaPattern, col, trim_ws
+from ..functions.base import JavaPattern, col, let, trim_ws
 from ..specs import IndexSpec, Scope, filter_field, parse_range
 
 Range = tuple[Decimal, Decimal]
 
 
+_NUMBER = r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,9}))?\z"
+_MIDDLE = 10_000_000_000  # exponents are written with this added, so they have eleven digits
+
+
+def decimal_key(value) -> Column:
+    """A text that sorts as the decimal number does, of any number of digits; NULL for what is no number.
+
+    The sign, then the place of the first digit that isn't 0, then the digits from there on. For numbers below 0 every digit is
+    replaced by its complement to 9, and an end mark above all digits puts a longer fraction below a shorter one.
+    Exponents have at most nine digits.
+    """
+
+    def key(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, _NUMBER, i)
+        whole, rest = part(2), part(3)
+        shape = F.regexp_like(text, F.lit(_NUMBER)) & (F.length(whole) + F.length(rest) > 0)
+        digits = F.regexp_replace(F.concat(whole, rest), r"\A0+", "")
+        place = F.length(whole) - (F.length(whole) + F.length(rest) - F.length(digits)) + F.coalesce(part(4).try_cast("bigint"), F.lit(0))
+        size = F.concat(F.lpad((place + _MIDDLE).cast("string"), 11, "0"), F.regexp_replace(digits, r"0+\z", ""))
+        below = F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))
+        signed = F.when(part(1) == "-", below).otherwise(F.concat(F.lit("2"), size))
+        return F.when(shape, F.when(digits == "", F.lit("1")).otherwise(signed))
+
+    return let(trim_ws(col(value).cast("string")), key)
+
+
 def in_range(value, bounds: Range) -> Column:
-    """Inclusive decimal range; blank or non-numeric values are outside."""
-    number = trim_ws(col(value).cast("string")).try_cast("decimal(38,10)")
-    low, high = (F.lit(str(b)).cast("decimal(38,10)") for b in bounds)
-    return F.coalesce(number.between(low, high), F.lit(False))
+    """Inclusive decimal range of any precision; blank or non-numeric values are outside."""
+    low, high = (decimal_key(F.lit(str(b))) for b in bounds)
+    return F.coalesce(decimal_key(value).between(low, high), F.lit(False))
 
 
 def allow_range(value, bounds: Range | None) -> Column:

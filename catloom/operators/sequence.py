@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..manifest import Manifest
 from ..session import written
 
+MOST_SPLITS = 100_000  # about 15 MB of paths and numbers
 _LOCAL = (1 << 33) - 1  # the bits of a monotonically increasing id that count inside a partition
 
 
@@ -95,18 +96,21 @@ def lease_ids(
 
 
 def read_positions(lines: DataFrame, name: str = "pos", *, start: int = 0) -> DataFrame:
-    """WIN-05: position over ``(_path, _block, _row)`` as the text readers mark it.
+    """WIN-05: position over ``(_path, _block, _row)`` as the text readers mark it, without a shuffle or sort of the lines.
 
-    A file block is the natural bucket here: no task holds more than one block.
+    The lines are written down where they are read, each with its split and the running id of its task, since another
+    read might cut the files differently. A split is read by one task in order, so its lines have consecutive ids, whatever
+    else the task reads. The lines and first ids of the splits are counted, their sums from the first split on give each
+    split its offset, and a line adds the distance of its id from its split's first. The sums go through one task, with one
+    row for each split of 128 MB; they are broadcast up to ``MOST_SPLITS`` splits, beyond it the join shuffles.
     """
-    sizes = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"))
-    # One row per file block, a few hundred bytes each per 128 MB of input.
+    marked = written(lines, "lines")
+    splits = marked.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_path", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(W.partitionBy("_path", "_block").orderBy("_row"))
+    offsets = written(splits.select("_path", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
+    small = offsets.count() <= MOST_SPLITS
     return (
-        lines.withColumn("_local", local)
-        .join(offsets, ["_path", "_block"])
-        .withColumn(name, (F.col("_before") + F.col("_local") + (start - 1)).cast("bigint"))
-        .drop("_path", "_block", "_row", "_local", "_before")
+        marked.join(F.broadcast(offsets) if small else offsets, ["_path", "_block"])
+        .withColumn(name, (F.col("_before") + F.col("_row") - F.col("_first") + start).cast("bigint"))
+        .drop("_path", "_block", "_row", "_first", "_before")
     )

@@ -241,15 +241,10 @@ def _combine(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.concat(F.lit("i"), F.col("p_partkey").cast("string")), "p_brand", "p_type")
     )
     rows = table(spark, sf, "part").select("p_partkey", owners.alias("owners"), ids.alias("ids"))
-    links = extract.combine_template(
-        _TEMPLATE,
-        {"NODE_CATE_LIST_COMMON_MAIN_OWNER_ID": F.col("owners"), "NODE_CATE_LIST_COMMON_ID": F.col("ids")},
-        layer="CATE_LIST",
-    )
+    variables = {"NODE_CATE_LIST_COMMON_MAIN_OWNER_ID": F.col("owners"), "NODE_CATE_LIST_COMMON_ID": F.col("ids")}
+    links = extract.combine_rows(rows, _TEMPLATE, variables, layer="CATE_LIST", name="link")
     constant = extract.combine_template("plain", {}, layer="CATE_LIST")
-    return rows.select("p_partkey", F.get(constant, F.lit(0)).alias("constant"), F.posexplode(links).alias("pos", "link")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    return links.select("p_partkey", "pos", "link", F.get(constant, F.lit(0)).alias("constant"))
 
 
 def parsed_parts(spark: SparkSession, sf: str) -> DataFrame:
