@@ -35,7 +35,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch(spark, "feed")
     stream = _as_stream(_events(spark, sf), "feed-in")
-    batches.dedup_feed(stream, target, ["user_id", "event_type"], ["event_id"], scratch(spark, "cp")).awaitTermination()
+    batches.dedup_feed(stream, target, ["user_id", "event_type"], ["event_id"], scratch(spark, "cp"), buckets=8).awaitTermination()
     return spark.read.parquet(target).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -76,7 +76,7 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
     spark_events = link_events(spark, sf)
     target, states = scratch(spark, "progress"), scratch(spark, "states")
     stream = _as_stream(spark_events, "progress-in")
-    keyed.progress_feed(stream, target, states, scratch(spark, "cp"), clock=lambda n: n).awaitTermination()
+    keyed.progress_feed(stream, target, states, scratch(spark, "cp"), clock=lambda n: n, length=1).awaitTermination()
     out = spark.read.parquet(target)
     last = F.max_by("state_after", F.struct("ts_sec", "event_id"))
     return out.groupBy("link_index").agg(last.alias("state"))

@@ -50,7 +50,7 @@ def batch_folder(target: str, tag: tuple[str, int]) -> str:
     return f"{target.rstrip('/')}/feed={tag[0]}/batch={tag[1]}"
 
 
-def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, *, history: str | None = None) -> StreamingQuery:
+def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, *, history: str | None = None, buckets: int = 64) -> StreamingQuery:
     """STR-01: the first row of every key not seen before goes to ``target``, in a folder per batch.
 
     Keys are remembered in ``history``, by default beside the target; a new history is seeded from what ``target``
@@ -66,7 +66,7 @@ def dedup_feed(stream: DataFrame, target: str, keys: list[str], order: list[str]
         try:
             keep_first(batch, keys, order).write.parquet(path)
             first = spark.read.parquet(path)
-            seen = seeded(KeyHistory(spark, history or f"{target.rstrip('/')}-keys", fields), target, keys)
+            seen = seeded(KeyHistory(spark, history or f"{target.rstrip('/')}-keys", fields, buckets=buckets), target, keys)
             folder = batch_folder(target, tag)
             seen.unseen(first, tag).select(*batch.columns).write.mode("overwrite").parquet(folder)
             seen.add(spark.read.schema(batch.schema).parquet(folder), tag)

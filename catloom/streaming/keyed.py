@@ -67,7 +67,7 @@ def seen_feed(
 
 def progress_feed(
     stream: DataFrame, target: str, states: str, checkpoint: str,
-    *, clock: Callable[[int], int], key: str = "link_index", ttl_seconds: int | None = 864_000, salts: int = SALTS,
+    *, clock: Callable[[int], int], key: str = "link_index", ttl_seconds: int | None = 864_000, salts: int = SALTS, length: int = 2,
 ) -> StreamingQuery:
     """STR-04: the progress state machine over a stream of page events (``event``, ``page_url``, ``ts_sec``, ``event_id``).
 
@@ -75,7 +75,7 @@ def progress_feed(
     with the highest ``(ts_sec, event_id)``, a law without order, so a link's events are brought together in two levels. One row
     per link and batch goes to ``target``: the state before and after, and the stamp of the latter.
 
-    States lie in a log-structured store: a batch reads the buckets of its links and appends its own links. A batch
+    States lie in a log-structured store with ``16 ** length`` buckets: a batch reads the buckets of its links and appends its own links. A batch
     that runs again reads the states as they were before it and replaces its run. Expired states are swept out now and then.
     """
     kind = stream.schema[key].dataType
@@ -86,7 +86,7 @@ def progress_feed(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, now, tag = batch.sparkSession, clock(batch_id), (batches.feed_id(batch.sparkSession, checkpoint), batch_id)
-        store, own = ContentStore(spark, states, fields), f"{tag[0]}-{batch_id}"
+        store, own = ContentStore(spark, states, fields, length=length), f"{tag[0]}-{batch_id}"
         path = scratch(spark, "progress")
         alive = F.lit(True) if ttl_seconds is None else F.col("touched") + ttl_seconds > now
         try:
