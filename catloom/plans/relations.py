@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import category, dedup, extract, progress, sequence, stats
 from ..operators.rules import Selector
 from ..operators.skew import lookup_join
-from ..session import scratch
+from ..session import scratch, written
 from ..sources.html import page_nodes
 from .catalog import query, table
 from .extraction import anchors, level_frame
@@ -286,6 +286,33 @@ def _entry_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "win_04_index_of_loads",
+    f"""with {PATH_SQL},
+    loads as (select 1 as load, r_name, n_name, c_name from paths where c_custkey % 2 = 0 union all select 2, r_name, n_name, c_name from paths),
+    nodes as (
+        select min(load) as load, p, parent, name, d from (
+            select load, r_name as p, '' as parent, r_name as name, 1 as d from loads
+            union all select load, r_name || chr(1) || n_name, r_name, n_name, 2 from loads
+            union all select load, r_name || chr(1) || n_name || chr(1) || c_name, r_name || chr(1) || n_name, c_name, 3 from loads) group by p, parent, name, d),
+    ranks as (
+        select *, row_number() over (partition by load, parent order by name) as r, row_number() over (partition by load order by p) - 1 as i,
+               least(40, count(*) filter (load = 1) over (partition by parent)) as top, count(*) filter (load = 1) over () as firsts from nodes),
+    own as (
+        select p, parent, d, case when load = 1 then i else firsts + i end as cate_level_index,
+               case when r + case when load = 1 then 0 else top end > 40 then 999 else r + case when load = 1 then 0 else top end end as id from ranks)
+    select replace(o.p, chr(1), '|') as names, cast(o.cate_level_index as bigint) as cate_level_index, concat_ws('/', up2.id, up.id, o.id) as ids
+    from own o left join own up on up.p = o.parent and o.d > 1 left join own up2 on up2.p = up.parent and up.d > 1""",
+)
+def _index_of_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of half the customers, then extended by all of them: what the first load numbered stays."""
+    paths = customer_paths(spark, sf).select("c_custkey", F.array("r_name", "n_name", "c_name").alias("path"))
+    first = written(category.build_index(paths.filter("c_custkey % 2 = 0"), "path", max_ids=40), "index")
+    out = category.extend_index(paths, "path", first, max_ids=40)
+    ids = F.transform("cate_ids_path", lambda i: i.cast("string"))
+    return out.select(F.array_join("cate_names_path", "|").alias("names"), F.col("cate_level_index").cast("bigint").alias("cate_level_index"), F.array_join(ids, "/").alias("ids"))
+
+
 @query(
     "win_04_category_index",
     f"""with {PATH_SQL}, n as (select distinct r_name || '' as p, 1 as d, '' as parent, r_name as name from paths union select distinct r_name || chr(1) || n_name, 2, r_name, n_name from paths
