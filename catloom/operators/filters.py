@@ -45,7 +45,14 @@ def decimal_key(value) -> Column:
 def in_range(value, bounds: Range) -> Column:
     """Inclusive decimal range of any precision; blank or non-numeric values are outside."""
     low, high = (decimal_key(F.lit(str(b))) for b in bounds)
-    return F.coalesce(decimal_key(value).between(low, high), F.lit(False))
+    exact = decimal_key(value).between(low, high)
+    if all(b.is_finite() and abs(b) < 10**27 and -b.as_tuple().exponent <= 10 for b in bounds):
+        # Most numbers are short: a decimal type holds them and the bounds exactly, and its comparison is cheaper.
+        few, many = (F.lit(f"{b:f}").cast("decimal(38,10)") for b in bounds)
+        text = trim_ws(col(value).cast("string"))
+        short = F.regexp_like(text, F.lit(r"\A[+-]?\d{1,15}(\.\d{1,10})?\z"))
+        exact = F.when(short, text.try_cast("decimal(38,10)").between(few, many)).otherwise(exact)
+    return F.coalesce(exact, F.lit(False))
 
 
 def allow_range(value, bounds: Range | None) -> Column:

@@ -61,6 +61,9 @@ def test_ranges_of_long_numbers(spark):
     kept = frame.filter(filters.allow_range(F.col("v"), bounds))
     assert sorted(r.v for r in kept.collect()) == sorted([str(big), f"{big}.0000000000000001", str(big + 1)])
     assert frame.filter(filters.reject_range(F.col("v"), bounds)).count() == 3
+    small = spark.createDataFrame([(t,) for t in ("1", " 1.5 ", "1e0", "2.0000000000", "2.00000000001", "0.99999999999", "01", "-1", "", None, "x")], "v string")
+    got = [r.v for r in small.filter(filters.allow_range(F.col("v"), (Decimal(1), Decimal(2)))).collect()]
+    assert got == ["1", " 1.5 ", "1e0", "2.0000000000", "01"]
 
 
 def test_a_million_combinations_stream(spark):
