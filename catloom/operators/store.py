@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,23 +107,28 @@ class ContentStore:
     def _append(self, docs: DataFrame, op: int, version: int | None = None, tag: str | None = None) -> None:
         """Writes a run and commits it, behind ``version`` if one is given: then a ``Conflict`` if there is a newer one.
 
-        A run with a tag takes the place of the one that has it, which is not merged before another tag comes.
+        A run with a tag takes the place of the one that has it, which is not merged before another tag comes;
+        full levels are merged before such a run is made, not after it.
         """
         entry = {"name": self._write(docs.withColumn("_op", F.lit(op).cast("byte"))), "level": 0, "changes": op != INSERT}
         if tag is not None:
-            self._merge_full_levels(but=tag)
-            self.manifest.change(lambda c: {**c, "runs": [*[r for r in c.get("runs", []) if r.get("tag") != tag], {**entry, "tag": tag}]})
-            return
+            entry["tag"] = tag
+
+        def added(content: dict) -> dict:
+            runs = content.get("runs", [])
+            return {**content, "runs": [*[r for r in runs if tag is None or r.get("tag") != tag], entry]}
+
         if version is None:
-            self.manifest.change(lambda c: {**c, "runs": [*c.get("runs", []), entry]})
+            self.manifest.change(added)
         else:
             content = self.manifest.read()[1]
             try:
-                self.manifest.commit(version + 1, {**content, "runs": [*content.get("runs", []), entry]})
+                self.manifest.commit(version + 1, added(content))
             except Conflict:
                 remove(self.spark, f"{self.path}/data/run={entry['name']}")
                 raise
-        self._merge_full_levels()
+        if tag is None:
+            self._merge_full_levels()
 
     def _bucketed(self, docs: DataFrame) -> DataFrame:
         return with_bucket(docs, prefix=self.prefix, length=self.length)
@@ -131,31 +137,40 @@ class ContentStore:
         """SNK-06: append without a check."""
         self._append(self._bucketed(docs), INSERT)
 
-    def insert_new(self, docs: DataFrame, order: list[str]) -> DataFrame:
+    def insert_new(
+        self, docs: DataFrame, order: list[str], *, tag: str | None = None, finish: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
         """SNK-07: insert documents whose ``_id`` the store lacks; returns exactly those.
 
         Rows without ``_id`` are skipped and the first of several equal ids counts.
         The batch and the new rows are written to the shared folder first: the batch
         so that the store is only scanned for its ids, the new rows so that those
         returned and those stored are the same even if tasks are retried. If another writer
-        commits meanwhile, the rows are looked up again.
+        commits meanwhile, the rows are looked up again. ``finish`` may add what only new documents get, such as their
+        numbers, before they are stored. With a ``tag`` a repeated insert replaces the one before it.
         """
         batch = written(self._bucketed(keep_first(docs, ["_id"], order)), "batch")
+        if tag is not None:
+            self._merge_full_levels(but=tag)
         while True:
             version, runs = self._runs()
-            fresh = unseen_in_history(batch, self._read(runs, in_buckets(batch)), ["bucket", "_id"])
-            fresh = written(fresh.select(*batch.columns), "insert")
+            before = [r for r in runs if tag is None or r.get("tag") != tag]
+            fresh = unseen_in_history(batch, self._read(before, in_buckets(batch)), ["bucket", "_id"]).select(*batch.columns)
+            fresh = written(fresh if finish is None else finish(written(fresh, "fresh")), "insert")
             try:
-                self._append(fresh, INSERT, version)
+                self._append(fresh, INSERT, version, tag)
             except Conflict:
                 continue
             return fresh
 
-    def upsert(self, docs: DataFrame, order: list[str], *, tag: str | None = None) -> None:
+    def upsert(self, docs: DataFrame, order: list[str], *, tag: str | None = None, keep: Column | None = None) -> None:
         """STR-08: insert new documents and replace known ones. The batch's own rows are all that is written.
 
-        With a ``tag``, such as the number of a batch, a repeated upsert replaces the one before it.
+        With a ``tag``, such as the number of a batch, a repeated upsert replaces the one before it. Rows that don't
+        meet ``keep`` leave when the oldest runs are merged.
         """
+        if tag is not None or keep is not None:
+            self._merge_full_levels(but=tag, keep=keep)
         self._append(self._bucketed(keep_first(docs, ["_id"], order)), PUT, tag=tag)
 
     def delete(self, ids: DataFrame) -> None:
@@ -188,12 +203,12 @@ class ContentStore:
 
     # -------------------------------------------------------------- merging
 
-    def _merge_full_levels(self, but: str | None = None) -> None:
+    def _merge_full_levels(self, but: str | None = None, keep: Column | None = None) -> None:
         level = 0
         while level <= max((r["level"] for r in self._runs()[1]), default=-1):
             full = [r for r in self._runs()[1] if r["level"] == level and (but is None or r.get("tag") != but)]
             if len(full) >= self.fan:
-                self._merge(full, level + 1)
+                self._merge(full, level + 1, keep)
             level += 1
 
     def compact(self, keep: Column | None = None, *, but: str | None = None) -> None:
