@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..jobs.category_tree import CategoryTreeJob, TreeRules
 from ..jobs.list_content import ListContentJob, ListRules
 from ..operators.filters import RecordFilter
 from ..operators.records import DetailRules
 from ..operators.rules import FieldRule, RegionRule
 from ..session import scratch
 from .catalog import query, table
-from .views import ANCHOR_SQL
+from .scalars import CAPTION_STEPS
+from .views import ANCHOR_SQL, HOST_SQL
 
 # Ten pages are the list of one link. The items are the page's navigation links of at least two letters.
 _FIELDS = {
@@ -86,3 +88,42 @@ def _detail_records(spark: SparkSession, sf: str) -> DataFrame:
         "_id", "iid", "common.id", "crawl_url", "crawl_time", "common.summary", "update_url", "update_time",
         F.array_join(F.transform("content.sku_colors", lambda c: c["name"]), "|").alias("colors"),
     )
+
+
+_KEY = "replace(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), 'ß', 'ss')"
+
+
+@query(
+    "job_category_tree",
+    f"""with {ANCHOR_SQL}, texts as (select page_id * 100000 + pos as id, name as text from anchors), {CAPTION_STEPS},
+    built as (select a.page_id, a.pos, page_id % 2 as run, c.caption, replace(replace(url_encode({HOST_SQL} || href), '%3A', ':'), '%2F', '/') as link, a.url as page_url
+      from anchors a join captions c on c.id = a.page_id * 100000 + a.pos where c.caption is not null),
+    kept as (select * from (select *, row_number() over (partition by link order by run, page_id, pos) as rn from built) where rn = 1),
+    roots as (select page_id, url, 'p' || page_id as root, least(row_number() over (order by 'p' || page_id), 999) as id from pages),
+    names as (select page_id, caption, min(run) as run, row_number() over (partition by page_id order by caption) as id, {_KEY.format('caption')} as key from kept group by page_id, caption),
+    every as (select 0 as run, root || chr(1) as path, page_id, '' as caption from roots union all select run, 'p' || page_id || chr(1) || caption, page_id, caption from names),
+    idx as (select page_id, caption, row_number() over (order by run, case when caption = '' then 'p' || page_id else path end) - 1 as place from every),
+    counts as (select page_id, key, count(*) as n from names group by all),
+    same as (select page_id, {_KEY.format('caption')} as key, count(*) as n from kept group by all)
+    select r.url, 0 as level, r.root as path, cast(r.id as varchar) as ids, r.url as links, i.place, r.url || '--0>>>-1>' || r.root as line
+    from roots r join idx i on i.page_id = r.page_id and i.caption = ''
+    union all select k.link, 1, r.root || '/' || k.caption, case when c.n = 1 then r.id || '/' || n.id end, case when s.n = 1 then r.url || ' ' || k.link end, i.place,
+      k.link || '--1>>>-1>' || r.root || '||' || k.caption
+    from kept k join roots r on r.page_id = k.page_id join names n on n.page_id = k.page_id and n.caption = k.caption join counts c on c.page_id = k.page_id and c.key = n.key
+    join same s on s.page_id = k.page_id and s.key = n.key join idx i on i.page_id = k.page_id and i.caption = k.caption""",
+)
+def _category_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page is an entry; the first run reads the even pages, the second all pages."""
+    pages = table(spark, sf, "pages")
+    root = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    entries = pages.select(F.concat("url", F.lit(">>>-1>"), root).alias("line"))
+    tree = pages.select("page_id", "url", "html", F.lit(0).alias("level"), F.lit(-1).alias("limit_cate_level_0_id"), F.array(root).alias("cate_names_path"))
+    job = CategoryTreeJob(spark, scratch(spark, "tree"), TreeRules(link=FieldRule(css="a", attr="href"), name=FieldRule(css="a")))
+    job.run(tag="even", entries=entries, pages=tree.filter("page_id % 2 = 0"))
+    job.run(tag="all", pages=tree)
+    places = job.index().select(F.array_join("cate_names_path", "/").alias("path"), F.col("cate_level_index").alias("place"))
+    rows = job.filled().select(
+        "url", "level", F.array_join("cate_names_path", "/").alias("path"), F.array_join("cate_ids_path", "/").alias("ids"),
+        F.array_join("cate_links_path", " ").alias("links"), "line",
+    )
+    return rows.join(places, "path")

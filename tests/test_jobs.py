@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from catloom.jobs.category_tree import CategoryTreeJob, TreeRules
 from catloom.jobs.list_content import ListContentJob, ListRules
+from catloom.manifest import Conflict
 from catloom.operators.progress import COMPLETED, SAME_ITEMS
 from catloom.operators.records import RECORD, DetailRules, detail_records
 from catloom.operators.rules import FieldRule
@@ -147,3 +149,73 @@ def test_state_table(spark):
     assert {r.key for r in table.read(now=5003).collect()} == {"c", "x", "y", "z"}
     kept = table.store._rows(table.store._runs()[1]).select("key").collect()
     assert "b" not in {r.key for r in kept}
+
+
+# The category tree
+
+TREE = TreeRules(link=FieldRule(css="a", attr="href"), name=FieldRule(css="a"), level_regex={1: r"c=(\d+)"})
+TREE_PAGE = "page_id long, url string, html string, level int, limit_cate_level_0_id int, cate_names_path array<string>"
+
+
+def tree_page(spark, *rows):
+    html = lambda items: "".join(f'<a href="{h}">{n}</a>' for h, n in items)
+    return spark.createDataFrame([(i, f"http://x.y/p{i}", html(items), len(path) - 1, 7, path) for i, path, items in rows], TREE_PAGE)
+
+
+def test_a_category_tree_grows(spark, monkeypatch):
+    job = CategoryTreeJob(spark, scratch(spark, "tree"), TREE)
+    assert job.links().count() == 0 and job.filled().count() == 0
+    entries = spark.createDataFrame([("http://x.y/p1>>>7>Books",), ("http://x.y/p2>>>8>Arts",), (" ",)], "line string")
+    pages = tree_page(spark, (1, ["Books"], [("/b?c=1", "Novels"), ("/b?c=2", "Poems"), ("/other?c=1", "Again"), ("javascript:x()", "Gone"), ("/more", "更多")]))
+    new = lambda out: {(r.url, r.level, r.line) for r in out.collect()}
+    books = {
+        ("http://x.y/p1", 0, "http://x.y/p1--0>>>7>Books"), ("http://x.y/p2", 0, "http://x.y/p2--0>>>8>Arts"),
+        ("http://x.y/b?c=1", 1, "http://x.y/b?c=1--1>>>7>Books||Novels"), ("http://x.y/b?c=2", 1, "http://x.y/b?c=2--1>>>7>Books||Poems"),
+    }
+    assert new(job.run(tag="one", entries=entries, pages=pages)) == books
+    index = lambda: {tuple(r.cate_names_path): (r.cate_ids_path, r.cate_level_index) for r in job.index().collect()}
+    first = index()
+    assert first == {("Arts",): ([1], 0), ("Books",): ([2], 1), ("Books", "Novels"): ([2, 1], 2), ("Books", "Poems"): ([2, 2], 3)}
+    more = tree_page(
+        spark, (1, ["Books"], [("/b?c=1", "Novels"), ("/b?c=9", "Essays")]), (2, ["Arts"], [("/a", "Film"), ("/a2", "film!")]),
+        (3, ["Books", "Novels"], [("/deep", "Crime")]), (4, ["Nowhere"], [("/n", "Lost")]), (5, ["Arts"], []),
+    )
+    # A run that is lost before its commit leaves nothing that counts; one that is repeated replaces itself.
+    with monkeypatch.context() as m:
+        m.setattr(type(job.manifest), "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            job.run(tag="two", pages=more)
+    assert index() == first
+    for _ in range(2):
+        assert {u for u, _, _ in new(job.run(tag="two", pages=more))} == {"http://x.y/b?c=9", "http://x.y/a", "http://x.y/a2", "http://x.y/deep", "http://x.y/n"}
+        assert job.links().count() == 9
+    now = index()
+    assert {k: now[k] for k in first} == first and now["Books", "Essays"][0] == [2, 3] and now["Books", "Novels", "Crime"][0] == [2, 1, 1]
+    assert sorted(i for _, i in now.values()) == list(range(len(now)))
+    filled = {r.url.rsplit("/", 1)[1]: (r.cate_ids_path, r.cate_links_path) for r in job.filled().collect()}
+    assert filled["deep"] == ([2, 1, 1], ["http://x.y/p1", "http://x.y/b?c=1", "http://x.y/deep"])
+    assert filled["a"] == (None, None) and filled["n"] == ([3, 1], None)
+    with pytest.raises(Exception, match="not unique|has no link"):
+        job.filled(strict=True).collect()
+    links_file, index_file = job.lines()
+    assert links_file.count() == 9 and "001#Arts" in {r.line.split("------------")[0] for r in index_file.collect()}
+    with pytest.raises(ValueError):
+        job.run(tag="none")
+
+
+def test_two_runs_at_once(spark):
+    job = CategoryTreeJob(spark, scratch(spark, "tree"), TREE)
+    entries = spark.createDataFrame([("http://x.y/p1>>>7>Books",)], "line string")
+    read = job.manifest.read
+
+    def late():
+        state = read()
+        job.manifest.read = read
+        job.run(tag="other", entries=entries)
+        return state
+
+    job.manifest.read = late
+    with pytest.raises(Conflict):
+        job.run(tag="mine", entries=entries)
+    assert job.links().count() == 1
+    assert job.run(tag="mine", entries=entries).count() == 0
