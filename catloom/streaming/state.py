@@ -1,7 +1,7 @@
 """Keyed state with expiry on Structured Streaming (STR-02 .. STR-04).
 
-State lives in the RocksDB store of the query's checkpoint, partitioned by key;
-a lost executor resumes from there.
+State lives in the RocksDB store of the query's checkpoint, partitioned by key or
+bucket of keys; a lost executor resumes from there.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,10 @@ from ..session import ship_with_tasks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
+BUCKETS = 1024  # of keys, for one Python call each; a checkpoint needs the number that it began with
+REMEMBERED = 100_000  # keys of a bucket in one batch
+_CODE_COLUMN, _BUCKET_COLUMN = "catloom_key_code", "catloom_key_bucket"
+_CODE = T.StructType([T.StructField("code", T.StringType())])
 _MARK = T.StructType([T.StructField("value", T.StringType())])
 _PROGRESS = T.StructType(
     [
@@ -29,23 +34,40 @@ _PROGRESS = T.StructType(
 
 
 class SeenSet(StatefulProcessor):
-    """First sight of a key; every sight restarts the key's clock."""
+    """First sight of keys, a bucket of keys at a time; every sight restarts a key's clock.
+
+    The state is a map from a key's code to a mark, each with a clock of its own. Rows of a bucket end with their key's code and the
+    bucket. A chunk asks the map once for each of its keys; keys met in earlier chunks of the batch are remembered, ``REMEMBERED`` at
+    most, and those beyond are asked for again.
+    """
 
     def __init__(self, ttl_ms: int | None, columns: list[str]):
         # Names are set again on every chunk: Spark loses those with a leading underscore.
         self.ttl_ms, self.columns = ttl_ms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", _MARK, self.ttl_ms)
+        self.seen = handle.getMapState("seen", _CODE, _MARK, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        fresh = not self.seen.exists()
+        met: set[str] = set()
         for chunk in rows:  # one chunk at a time, however many copies a key has
-            flags = [False] * len(chunk)
-            if fresh and flags:
-                flags[0], fresh = True, False
-            self.seen.update(("1",))
-            yield chunk.set_axis(self.columns, axis=1).assign(is_new=flags)
+            codes = chunk.iloc[:, len(self.columns)]
+            first = ~codes.duplicated().to_numpy()
+            is_new = first.copy()
+            for at in first.nonzero()[0]:
+                is_new[at] = self._is_new(codes.iat[at], met)
+            yield chunk.iloc[:, : len(self.columns)].set_axis(self.columns, axis=1).assign(is_new=is_new)
+
+    def _is_new(self, code: str, met: set[str]) -> bool:
+        if code in met:
+            return False
+        if len(met) >= REMEMBERED:
+            met.clear()
+        met.add(code)
+        fresh = not self.seen.containsKey((code,))
+        if fresh or self.ttl_ms is not None:
+            self.seen.updateValue((code,), ("1",))
+        return fresh
 
     def close(self) -> None:
         pass
@@ -95,15 +117,42 @@ def _with_state(events: DataFrame, keys: list[str], processor: StatefulProcessor
     )
 
 
+def _code(column: Column, kind: T.DataType) -> Column:
+    """A value as a text that tells its own length."""
+    if isinstance(kind, T.StructType):
+        text = F.concat(F.lit(""), *[_code(column[f.name], f.dataType) for f in kind])
+        text = F.when(column.isNotNull(), text)
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        raise ValueError(f"no keys of type {kind.simpleString()}")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = (column + F.lit(0.0)).cast("string")  # one zero
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(column).cast("string")
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(column)
+    else:
+        text = column.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def key_code(frame: DataFrame, keys: list[str]) -> Column:
+    """One text for the values of some columns, the same where ``groupBy`` has one group and nowhere else."""
+    return F.concat(*[_code(frame[k], frame.select(k).schema[0].dataType) for k in keys])
+
+
 def first_seen(events: DataFrame, keys: list[str], *, ttl_seconds: int | None = 604_800) -> DataFrame:
     """STR-02: flag the rows that bring a key for the first time within its TTL.
 
     With keys ``(sort_field, sort_order, page_url)`` this is the page gate STR-03.
-    Of several copies in one batch the first to arrive is flagged.
+    Of several copies in one batch the first to arrive is flagged. Keys with a null part are keys like others.
+
+    Python is called by bucket of keys and reads the rows chunk by chunk, because a call for each key costs far more than the
+    key's rows. The state stays one entry a key, so a batch touches the entries of its own keys only.
     """
     ttl = ttl_seconds * 1000 if ttl_seconds else None
     schema = T.StructType([*events.schema.fields, T.StructField("is_new", T.BooleanType())])
-    return _with_state(events, keys, SeenSet(ttl, events.columns), schema)
+    coded = events.withColumn(_CODE_COLUMN, key_code(events, keys)).withColumn(_BUCKET_COLUMN, F.pmod(F.xxhash64(_CODE_COLUMN), F.lit(BUCKETS)).cast("int"))
+    return _with_state(coded, [_BUCKET_COLUMN], SeenSet(ttl, events.columns), schema)
 
 
 def link_progress(events: DataFrame, *, key: str = "link_index", ttl_seconds: int | None = 864_000) -> DataFrame:

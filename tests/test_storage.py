@@ -106,6 +106,62 @@ def test_seen_set_forgets(spark):
     assert [r.is_new for r in spark.read.parquet(target).collect()] == [True, True]
 
 
+def test_seen_set_is_called_by_bucket(spark, monkeypatch, tmp_path):
+    """A Python call for each key cost more than the keys' rows (str_03_page_gate)."""
+    handle, log = state.SeenSet.handleInputRows, str(tmp_path / "calls")
+
+    def counted(self, key, rows, timer_values):
+        with open(log, "a") as f:
+            f.write("x")
+        yield from handle(self, key, rows, timer_values)
+
+    monkeypatch.setattr(state.SeenSet, "handleInputRows", counted)
+    monkeypatch.setattr(state, "BUCKETS", 16, raising=False)
+    monkeypatch.setattr(state, "REMEMBERED", 7, raising=False)
+    folder, target, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "cp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # several chunks for a bucket
+    try:
+        for start in (0, 500):  # half of the keys come again
+            spark.range(start, start + 1000).selectExpr("concat('k', id) as _id", "id as v").unionAll(
+                spark.range(start, start + 1000).selectExpr("concat('k', id) as _id", "-id as v")
+            ).coalesce(1).write.mode("append").parquet(folder)
+            stream = state.first_seen(batches.file_stream(spark, folder, DOC), ["_id"])
+            batches.run(stream, lambda b, _: b.write.mode("append").parquet(target), checkpoint).awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.parquet(target)
+    assert got.count() == 4000 and got.filter("is_new").count() == got.filter("is_new").select("_id").distinct().count() == 1500
+    with open(log) as f:
+        assert len(f.read()) <= 2 * 16
+
+
+def test_keys_of_the_seen_set(spark):
+    """Codes tell keys apart where ``groupBy`` does, and nowhere else."""
+    rows = spark.sql("""
+        select * from values
+            ('a', 'bc', 9007199254740993L, 0.0D, timestamp_micros(1), x'00', struct('x', '')),
+            ('ab', 'c', 9007199254740993L, 0.0D, timestamp_micros(1), x'00', struct('x', '')),
+            ('ab', 'c', 9007199254740992L, 0.0D, timestamp_micros(1), x'00', struct('x', '')),
+            ('ab', 'c', 9007199254740992L, -0.0D, timestamp_micros(1), x'00', struct('x', '')),
+            ('ab', 'c', 9007199254740992L, double('nan'), timestamp_micros(2), x'0000', struct('', 'x')),
+            ('ab', 'c', 9007199254740992L, double('nan'), timestamp_micros(1), x'00', struct('', 'x')),
+            ('ab', 'c', null, 0.0D, null, null, null),
+            ('ab', null, null, null, null, null, struct(null, null)),
+            ('', null, null, null, null, null, null),
+            (null, '', null, null, null, null, null),
+            (null, null, null, null, null, null, null),
+            (null, null, null, null, null, null, null)
+        as t(a, b, n, d, t, x, s)""")
+    for keys in (["a", "b"], ["n"], ["d"], ["t"], ["x"], ["s"], ["s", "a"], rows.columns):
+        assert rows.select(state.key_code(rows, keys)).distinct().count() == rows.select(*keys).distinct().count(), keys
+    folder, keys = scratch(spark, "in"), ["n", "a"]
+    rows.select(*keys).coalesce(1).write.parquet(folder)
+    got = drain(spark, state.first_seen(batches.file_stream(spark, folder, rows.select(*keys).schema), keys), "out")
+    assert len(got) == 12 and sum(r.is_new for r in got) == rows.select(*keys).distinct().count()
+    with pytest.raises(ValueError, match="array"):
+        state.first_seen(rows.withColumn("l", F.array("a")), ["l"])
+
+
 def test_store_feed_twice(spark):
     folder = scratch(spark, "in")
     docs(spark, [("a", 1), ("b", 2), ("a", 3)]).write.parquet(folder)
